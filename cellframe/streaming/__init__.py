@@ -1,0 +1 @@
+"""No streaming operator belongs to this engine: its tables are read, updated and appended in batches."""
