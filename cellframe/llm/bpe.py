@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -61,6 +62,7 @@ class Bpe:
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.vocabulary = {i: b for b, i in ranks.items()}
         self.memo = Memo(self._part, memo)
+        self.tokens = Memo(lambda t: self.encode_bytes(t.encode("utf-8", "surrogatepass")), memo // 2)
 
     @classmethod
     def load(cls, path: str, pattern: str) -> Bpe:
@@ -108,18 +110,11 @@ class Bpe:
         return out
 
     def _part(self, part: str) -> tuple[int, ...]:
-        out: list[int] = []
-        for match in self.pattern.finditer(part):
-            out += self.encode_bytes(match[0].encode("utf-8", "surrogatepass"))
-        return tuple(out)
+        return tuple(chain.from_iterable(map(self.tokens.__getitem__, self.pattern.findall(part))))
 
     def encode(self, text: str) -> list[int]:
         """The ids of a text; each match of the pattern is encoded separately."""
-        out: list[int] = []
-        part = self.memo.__getitem__
-        for p in cut(text):
-            out += part(p)
-        return out
+        return list(chain.from_iterable(map(self.memo.__getitem__, cut(text))))
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.vocabulary.__getitem__, ids))
