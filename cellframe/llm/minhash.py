@@ -206,7 +206,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     near = _near(percent, min(128, bands * rows))
     star = materialize(star.join(facts.withColumnRenamed("rep", "a"), "a").join(o, "b").where(near).select("a", "b"), "star")
     asked = star.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    texts = base.withColumnRenamed("doc_id", "rep")
+    # The whole texts are dealt once, by a merge join at every size; what follows draws on this pool.
+    texts = base.withColumnRenamed("doc_id", "rep").join(shared.select("rep").distinct().hint("merge"), "rep", "left_semi")
+    texts = materialize(texts, "pool")
     edges = materialize(_verified(star, _texts(texts, asked), k, percent), "links")
     labels = components(edges)
 
