@@ -12,16 +12,17 @@ encode each document; deal documents to shards by doc_id; sort; write.
 
 from __future__ import annotations
 
-import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import tokenizer_path
+from .bpe import pattern, tokenizer_path
 from .chunks import cut
 from .common import Memo, batch_of, materialize, new_path, pieces, read, ship
 
@@ -29,23 +30,29 @@ BLOCK, LONGEST = 256, 18
 #: Ids are below this; the code table on the driver and executors is bounded by it.
 MOST_IDS = 1 << LONGEST
 
-_MEMOS: dict[str, tuple] = {}
+_MEMOS: dict[str, Memo] = {}
 
 
 def _encoder(path: str):
-    """(memo of parts to little-endian id bytes, function that encodes unseen parts at once), one a process."""
+    """A memo of parts of texts to little-endian id bytes, one a process, for a byte-level BPE tokenizer file.
+
+    Parts are cut into pre-tokens by the public pattern, and the library's model merges each new pre-token;
+    strings of special tokens in a text are ordinary text."""
     if path not in _MEMOS:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        fast = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
+        model, split = tokenizer.model, regex.compile(pattern()).findall
+        # The byte-level alphabet: printable bytes stand for themselves, the others for characters from 256 on.
+        plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        letters = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in plain)}
 
-        def many(parts: list[str]) -> list[bytes]:
-            return [np.array(e.ids, np.uint32).tobytes() for e in fast(parts, add_special_tokens=False)]
+        def token(text: str) -> bytes:
+            data = text.encode("utf-8", "surrogatepass").decode("latin-1").translate(letters)
+            return array("I", [t.id for t in model.tokenize(data)]).tobytes()
 
-        _MEMOS[path] = Memo(lambda p: many([p])[0]), many
+        tokens = Memo(token, 200_000)
+        _MEMOS[path] = Memo(lambda part: b"".join(map(tokens.__getitem__, split(part))))
     return _MEMOS[path]
 
 
@@ -58,16 +65,9 @@ def tokenise(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
     end = np.array([end_id], np.uint32).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, many = _encoder(path)
+        get = _encoder(path).__getitem__
         for batch in pieces(batches, "text", 4 << 20):
-            texts = [cut(x) for x in batch.column("text").to_pylist()]
-            new = list({p for parts in texts for p in parts if p not in memo})
-            for at in range(0, len(new), 50_000):
-                some = new[at : at + 50_000]
-                unseen = [p for p in some if p not in memo.old]
-                for p, ids in zip(unseen, many(unseen), strict=True):
-                    memo.put(p, ids)
-            get = memo.__getitem__
+            texts = map(cut, batch.column("text").to_pylist())
             ids = [b"".join(map(get, parts)) + end for parts in texts]
             yield batch_of(_IDS, batch.column("doc_id"), [len(x) // 4 for x in ids], ids)
 
