@@ -40,7 +40,7 @@ def words(text: Column) -> Column:
 
     The two non-ASCII capitals whose lower-case form begins with an ASCII letter are first replaced by
     letters that have none, so that ASCII words are those of an A-Z lower-casing."""
-    plain = F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("K"), F.lit("ĸ")), F.lit("İ"), F.lit("ı"))
+    plain = F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("\u212a"), F.lit("\u0138")), F.lit("\u0130"), F.lit("\u0131"))
     return F.filter(F.split(F.lower(plain), _SEPARATORS), lambda w: w != "")
 
 
