@@ -43,16 +43,25 @@ def _encoder(path: str):
 
         tokenizer = Tokenizer.from_file(path)
         model, split = tokenizer.model, regex.compile(pattern()).findall
+        model._resize_cache(0)  # each pre-token comes once: the memo stands before the model
         # The byte-level alphabet: printable bytes stand for themselves, the others for characters from 256 on.
         plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         letters = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in plain)}
 
         def token(text: str) -> bytes:
-            data = text.encode("utf-8", "surrogatepass").decode("latin-1").translate(letters)
+            if text.isascii() and text.isprintable():
+                data = text.replace(" ", blank)
+            else:
+                data = text.encode("utf-8", "surrogatepass").decode("latin-1").translate(letters)
             return array("I", [t.id for t in model.tokenize(data)]).tobytes()
 
-        tokens = Memo(token, 200_000)
-        _MEMOS[path] = Memo(lambda part: b"".join(map(tokens.__getitem__, split(part))))
+        def whole(part: str) -> bytes:
+            if (part[1:] if part[0] == " " else part).isalpha():  # the pattern takes letters with a blank before them whole
+                return tokens[part]
+            return b"".join(map(tokens.__getitem__, split(part)))
+
+        blank, tokens = chr(letters[32]), Memo(token, 200_000)
+        _MEMOS[path] = Memo(whole)
     return _MEMOS[path]
 
 
