@@ -11,9 +11,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -22,47 +23,16 @@ from pyspark.sql import functions as F
 from .chunks import cut
 from .common import Memo, batch_of, pieces, read, ship
 
-_GROUP = 240  # ranks under one bit of the upper bitmap: 240 groups of 240 span 57,600 ranks
-
-
-class RankQueue:
-    """Buckets of positions by rank under a two-level bitmap."""
-
-    def __init__(self):
-        self.top, self.low, self.buckets = 0, {}, {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            bucket.append(position)
-            return
-        self.buckets[rank] = [position]
-        group, bit = divmod(rank, _GROUP)
-        self.low[group] = self.low.get(group, 0) | 1 << bit
-        self.top |= 1 << group
-
-    def pop(self) -> tuple[int, list[int]]:
-        """The lowest rank that is queued and its positions."""
-        group = (self.top & -self.top).bit_length() - 1
-        bits = self.low[group]
-        bit = bits & -bits
-        if bits == bit:
-            del self.low[group]
-            self.top ^= 1 << group
-        else:
-            self.low[group] = bits ^ bit
-        rank = group * _GROUP + bit.bit_length() - 1
-        return rank, self.buckets.pop(rank)
+_BITS = [1 << i for i in range(256)]  # both levels of the bitmap: 256 groups of 256 ranks span 65,536
 
 
 class Bpe:
     """An encoder and decoder for ranks (bytes to id) and a pre-tokenising pattern."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 600_000):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.vocabulary = {i: b for b, i in ranks.items()}
-        self.memo = Memo(self._part, memo)
-        self.tokens = Memo(lambda t: self.encode_bytes(t.encode("utf-8", "surrogatepass")), memo // 2)
+        self.memo = Memo(self._part, memo)  # of parts of texts and of pre-tokens
 
     @classmethod
     def load(cls, path: str, pattern: str) -> Bpe:
@@ -70,51 +40,85 @@ class Bpe:
             return cls({base64.b64decode(a): int(b) for a, b in (x.split() for x in f if x.strip())}, pattern)
 
     def encode_bytes(self, token: bytes) -> list[int]:
-        """The ids of one pre-token."""
+        """The ids of one pre-token.
+
+        `low[g]` has a bit for each rank of group g that has a bucket, `top` a bit for each group that has any;
+        `pair[i]` is the rank of the pair that begins at byte i, so an entry is stale if it differs.
+        """
         ranks = self.ranks
         whole = ranks.get(token)
         if whole is not None:
             return [whole]
-        n = len(token)
-        stop = list(range(1, n + 1))  # where the part that begins here ends; 0: no part begins here
-        before = list(range(-1, n - 1))
-        queue = RankQueue()
-        for i in range(n - 1):
-            rank = ranks.get(token[i : i + 2])
-            if rank is not None:
-                queue.push(rank, i)
-        while queue.top:
-            rank, positions = queue.pop()
-            length = len(self.vocabulary[rank])
-            positions.sort()
+        rank_of, bit_of, n = ranks.get, _BITS, len(token)
+        stop = list(range(1, n + 1))  # where the part that begins here ends
+        before = list(range(-1, n - 1))  # where the part before the one that begins here begins
+        pair = [rank_of(token[i : i + 2], -1) for i in range(n - 1)]
+        pair.append(-1)
+        top, low, buckets = 0, {}, {}
+        due = [(rank, i) for i, rank in enumerate(pair) if rank >= 0]
+        while True:
+            for rank, i in due:
+                bucket = buckets.get(rank)
+                if bucket is None:
+                    buckets[rank] = [i]
+                    group = rank >> 8
+                    low[group] = low.get(group, 0) | bit_of[rank & 255]
+                    top |= bit_of[group]
+                else:
+                    bucket.append(i)
+            if not top:
+                break
+            group = (top & -top).bit_length() - 1
+            bits = low[group]
+            bit = bits & -bits
+            low[group] = bits ^ bit
+            if bits == bit:
+                top ^= bit_of[group]
+            lowest = group << 8 | bit.bit_length() - 1
+            positions = buckets.pop(lowest)
+            if len(positions) > 1:
+                positions.sort()
+            due, earlier = [], False
             for i in positions:
-                j = stop[i]
-                if not j or j >= n or stop[j] - i != length or ranks.get(token[i : stop[j]]) != rank:
+                if pair[i] != lowest:
                     continue  # stale: a part of the pair has been merged with another
-                end = stop[j]
-                stop[i], stop[j] = end, 0
+                if earlier:
+                    due.append((lowest, i))  # a rank below this one has come up: it goes first
+                    continue
+                j = stop[i]
+                end = stop[i] = stop[j]
+                pair[j] = rank = -1
                 if end < n:
                     before[end] = i
-                    rank_right = ranks.get(token[i : stop[end]])
-                    if rank_right is not None:
-                        queue.push(rank_right, i)
+                    rank = rank_of(token[i : stop[end]], -1)
+                    if rank >= 0:
+                        due.append((rank, i))
+                        earlier = rank < lowest
+                pair[i] = rank
                 left = before[i]
                 if left >= 0:
-                    rank_left = ranks.get(token[left:end])
-                    if rank_left is not None:
-                        queue.push(rank_left, left)
+                    pair[left] = rank = rank_of(token[left:end], -1)
+                    if rank >= 0:
+                        due.append((rank, left))
+                        earlier = earlier or rank < lowest
         out, i = [], 0
         while i < n:
             out.append(ranks[token[i : stop[i]]])
             i = stop[i]
         return out
 
-    def _part(self, part: str) -> tuple[int, ...]:
-        return tuple(chain.from_iterable(map(self.tokens.__getitem__, self.pattern.findall(part))))
+    def _part(self, part: str) -> bytes:
+        tokens = self.pattern.findall(part)
+        if len(tokens) == 1:
+            return array("i", self.encode_bytes(part.encode("utf-8", "surrogatepass"))).tobytes()
+        return b"".join(map(self.memo.__getitem__, tokens))
+
+    def encode_raw(self, text: str) -> bytes:
+        """The ids of a text as 32-bit integers; each match of the pattern is encoded separately."""
+        return b"".join(map(self.memo.__getitem__, cut(text)))
 
     def encode(self, text: str) -> list[int]:
-        """The ids of a text; each match of the pattern is encoded separately."""
-        return list(chain.from_iterable(map(self.memo.__getitem__, cut(text))))
+        return array("i", self.encode_raw(text)).tolist()
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.vocabulary.__getitem__, ids))
@@ -158,16 +162,29 @@ _DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sh
 
 
 class Digests:
-    """ids_sha256 and decoded_sha256 of texts; an id's decimal form and bytes are looked up in tables."""
+    """n_tokens, ids_sha256 and decoded_sha256 of texts; an id's decimal form and bytes are taken from tables."""
 
     def __init__(self, coder: Bpe):
         self.coder = coder
-        self.decimal = [str(i) for i in range(max(coder.vocabulary, default=0) + 1)]
-
-    def __call__(self, text: str) -> tuple[int, str, str]:
-        ids = self.coder.encode(text)
-        decimal = ",".join(map(self.decimal.__getitem__, ids))
-        return (len(ids), hashlib.sha256(decimal.encode()).hexdigest(), hashlib.sha256(self.coder.decode(ids)).hexdigest())
+        n = max(coder.vocabulary, default=-1) + 1
+        self.decimal = pa.array([f"{i}," for i in range(n)], pa.large_string())
+        self.octets = pa.array([coder.vocabulary.get(i, b"") for i in range(n)], pa.large_binary())
+
+    def __call__(self, texts: list[str]) -> tuple[list[int], list[str], list[str]]:
+        found = list(map(self.coder.encode_raw, texts))
+        counts = [len(x) // 4 for x in found]
+        ids = pa.array(np.frombuffer(b"".join(found), np.int32))
+        ends = np.cumsum([0, *counts])
+        return counts, self._sha256(self.decimal.take(ids), ends, 1), self._sha256(self.octets.take(ids), ends, 0)
+
+    @staticmethod
+    def _sha256(taken: pa.Array, ends: np.ndarray, less: int) -> list[str]:
+        """Of the values between each two ends, one after another, without the last `less` bytes."""
+        if not len(taken):
+            return [hashlib.sha256().hexdigest()] * (len(ends) - 1)
+        at = np.frombuffer(taken.buffers()[1], np.int64)[ends].tolist()
+        data = memoryview(taken.buffers()[2])
+        return [hashlib.sha256(data[a : max(a, b - less)]).hexdigest() for a, b in zip(at, at[1:], strict=False)]
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -181,8 +198,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Digests(bpe(path, pattern))
         for batch in pieces(batches, "text", 8 << 20):
-            found = [of(x) for x in batch.column("text").to_pylist()]
-            yield batch_of(_DIGESTS, batch.column("doc_id"), *(list(x) for x in zip(*found, strict=True)))
+            yield batch_of(_DIGESTS, batch.column("doc_id"), *of(batch.column("text").to_pylist()))
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(
         run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
