@@ -34,7 +34,7 @@ _MEMOS: dict[str, Memo] = {}
 
 
 def _encoder(path: str):
-    """A memo of parts of texts to little-endian id bytes, one a process, for a byte-level BPE tokenizer file.
+    """A memo of parts of texts and of pre-tokens to little-endian id bytes, one a process, for a byte-level BPE file.
 
     Parts are cut into pre-tokens by the public pattern, and the library's model merges each new pre-token;
     strings of special tokens in a text are ordinary text."""
@@ -55,13 +55,14 @@ def _encoder(path: str):
                 data = text.encode("utf-8", "surrogatepass").decode("latin-1").translate(letters)
             return array("I", [t.id for t in model.tokenize(data)]).tobytes()
 
-        def whole(part: str) -> bytes:
+        def ids(part: str) -> bytes:
             if (part[1:] if part[0] == " " else part).isalpha():  # the pattern takes letters with a blank before them whole
-                return tokens[part]
-            return b"".join(map(tokens.__getitem__, split(part)))
+                return token(part)
+            tokens = split(part)
+            return token(part) if len(tokens) == 1 else b"".join(map(memo.__getitem__, tokens))
 
-        blank, tokens = chr(letters[32]), Memo(token, 200_000)
-        _MEMOS[path] = Memo(whole)
+        blank = chr(letters[32])
+        memo = _MEMOS[path] = Memo(ids, 600_000)
     return _MEMOS[path]
 
 
@@ -209,7 +210,7 @@ _ROWS_DDL = "shard int, doc_id bigint, n_tokens bigint, checkpoints binary, payl
 def _encoding(sent, bounds: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = sent.value
-        for batch in pieces(batches, "ids", 8 << 20):
+        for batch in pieces(batches, "ids", 1 << 20):
             ids = _flat(batch.column("ids"), np.uint32)
             n = batch.column("n_tokens").to_numpy()
             ends = np.cumsum(n)
