@@ -77,6 +77,23 @@ def test_token_files_and_bpe(docs):
     assert rows[0]["n_tokens"] == 0 and rows[0]["ids_sha256"] == hashlib.sha256(b"").hexdigest()
 
 
+def test_ranks_in_any_order():
+    """Vocabularies in which a merge brings up a pair of a lower rank than its own."""
+    import tiktoken
+
+    rng = random.Random(4)
+    for _ in range(60):
+        longer = {"".join(rng.choices("abc", k=rng.randint(2, 5))).encode() for _ in range(25)}
+        ranks = {bytes([i]): i for i in range(256)} | {b: 256 + i for i, b in enumerate(rng.sample(sorted(longer), len(longer)))}
+        e, coder = tiktoken.Encoding("own", pat_str="[abc]+", mergeable_ranks=ranks, special_tokens={}), bpe.Bpe(ranks, "[abc]+")
+        texts = ["abab", *("".join(rng.choices("abc", k=rng.randint(0, 60))) for _ in range(40))]
+        assert [coder.encode(x) for x in texts] == [e.encode_ordinary(x) for x in texts]
+        found = bpe.Digests(coder)(texts)
+        assert found[0] == [len(e.encode_ordinary(x)) for x in texts]
+        assert found[1] == [hashlib.sha256(",".join(map(str, e.encode_ordinary(x))).encode()).hexdigest() for x in texts]
+        assert found[2] == [hashlib.sha256(x.encode()).hexdigest() for x in texts]
+
+
 def test_code_lengths():
     for counts in ([1], [5, 5], [1, 1, 2, 4, 8, 16, 32, 64, 128], list(range(1, 300))):
         lengths = tokenids.code_lengths(np.array(counts), 9)
