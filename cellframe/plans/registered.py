@@ -292,6 +292,15 @@ def time_baseline_cross(spark, d):
     return cube.rows(times, pairs, 21).select("ROWID", "ANTENNA1", "ANTENNA2", "value")
 
 
+@query("""with b as (select x.r_regionkey as ANTENNA1, y.r_regionkey as ANTENNA2, row_number() over (order by x.r_regionkey, y.r_regionkey) - 1 as BL
+ from region x join region y on x.r_regionkey < y.r_regionkey)
+ select event_id * (select count(*) from b) + BL as ROWID, ANTENNA1, ANTENNA2, value from events, b""")
+def time_baseline_all(spark, d):
+    pairs = cube.baselines(_t(spark, d, "region").select(F.col("r_regionkey").alias("id")))
+    times = _t(spark, d, "events").select(F.col("event_id").alias("t"), "value")
+    return cube.rows(times, pairs, pairs.count()).select("ROWID", "ANTENNA1", "ANTENNA2", "value")
+
+
 @query("select event_type, row_number() over (order by f) - 1 as id from (select event_type, min(event_id) as f from events group by 1)")
 def dense_ids(spark, d):
     return groups.dense_ids(_t(spark, d, "events", "event_id"), "event_type").select("event_type", F.col("id").cast("bigint").alias("id"))
