@@ -195,20 +195,26 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents"
                   limit: int = LIMIT) -> DataFrame:
     """`docs`, all columns, without contaminated documents ("documents") or with the hit words cut out ("spans").
 
-    Several blocks of the benchmark are applied one after another, each to what the one before found.
+    Each row is judged and cut by its own text, whatever its doc_id.  Several blocks of the benchmark give the same
+    result as one: hits of all blocks are gathered on the original texts first.
     """
+    if mode not in ("documents", "spans"):
+        raise ValueError(f"mode is 'documents' or 'spans', not {mode!r}")
     spark = docs.sparkSession
     ship(spark)
     blocks = _blocks(benchmark, limit)
-    if mode == "spans":
-        for block in blocks:
-            docs = docs.withColumn("text", _cutting(spark.sparkContext.broadcast(_index(block, width)))(F.col("text").cast("binary")).cast("string"))
-        return docs
-    if mode != "documents":
-        raise ValueError(f"mode is 'documents' or 'spans', not {mode!r}")
     if len(blocks) > 1:
-        bad = contamination(docs, benchmark, width=width, limit=limit).where("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
-        return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad"]), "left_anti")
+        key = F.sha2(octets("text"), 256)
+        texts = docs.select(key.alias("doc_id"), "text")
+        if mode == "documents":
+            bad = contamination(texts, benchmark, width=width, limit=limit).where("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
+            return docs.join(bad, key == F.col("__bad"), "left_anti")
+        hits = occurrences(texts, benchmark, width=width, limit=limit).where("size(spans) > 0").groupBy(F.col("doc_id").alias("__key")).agg(
+            F.first("spans").alias("__spans"))
+        return docs.join(hits, key == F.col("__key"), "left").withColumn(
+            "text", _cut_out()(F.col("text").cast("binary"), F.col("__spans")).cast("string")).select(*docs.columns)
+    if mode == "spans":
+        return docs.withColumn("text", _cutting(spark.sparkContext.broadcast(_index(blocks[0], width)))(F.col("text").cast("binary")).cast("string"))
     sent = spark.sparkContext.broadcast(_index(blocks[0], width))
 
     @F.arrow_udf("boolean")
@@ -223,6 +229,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents"
     return docs.where(~dirty(octets("text")))
 
 
+def _cut_out():
+    @F.arrow_udf("binary")
+    def cut(text: pa.Array, spans: pa.Array) -> pa.Array:
+        rows = zip(text.to_pylist(), spans.to_pylist(), strict=True)
+        return pa.array([_cut(t, s) if t is not None and s else t for t, s in rows], pa.binary())
+
+    return cut
+
+
 def _cutting(sent):
     @F.arrow_udf("binary")
     def cut(text: pa.Array) -> pa.Array:

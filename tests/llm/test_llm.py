@@ -121,6 +121,22 @@ def test_contamination(spark, docs, limit):
     assert cut[0] is None and cut[3] == "" and len(cut[5].split()) == 120 - 33
 
 
+def test_decontaminate_in_blocks(spark):
+    """Benchmarks in one block or in many give the same rows: null and repeated ids, and items that overlap in a text."""
+    words = [f"v{i}" for i in range(200)]
+    bench = spark.createDataFrame([(i, " ".join(words[i : i + 16])) for i in range(0, 160, 7)], "item_id long, text string")
+    dirty, clean, half = " ".join(words[:180]), "nothing of the kind", " ".join(WORDS * 20 + words[7:23])
+    rows = [(None, dirty), (None, clean), (None, None), (1, dirty), (1, clean), (2, clean), (2, clean), (3, half), (None, half)]
+    df = spark.createDataFrame([(i, t, 5) for i, t in rows], "doc_id long, text string, key int")
+    listed = lambda x: sorted((str(r["doc_id"]), str(r["text"]), r["key"]) for r in x.collect())
+    left = [(str(i), str(t), 5) for i, t in rows if t != dirty]
+    cut = [(str(i), str(" ".join(["", *words[170:180]]) if t == dirty else " ".join(WORDS * 20) + " " if t == half else t), 5) for i, t in rows]
+    for limit in (1 << 24, 1000):
+        assert listed(decontaminate.decontaminate(df, bench, limit=limit)) == sorted(left)
+        assert listed(decontaminate.decontaminate(df, bench, "spans", limit=limit)) == sorted(cut)
+        assert decontaminate.decontaminate(df, bench, "spans", limit=limit).columns == df.columns
+
+
 def test_toxicity(spark):
     rng = random.Random(3)
     rows = [(i, " ".join([rng.choice(WORDS) for _ in range(30)] + (["vile"] if i % 4 == 0 else [])), int(i % 4 == 0)) for i in range(600)]
