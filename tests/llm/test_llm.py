@@ -49,6 +49,20 @@ def test_near_duplicates(docs):
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_keep_one_without_ids(spark):
+    """A row without an id is kept only where its component has no id, and then one row is."""
+    rng = random.Random(6)
+    a, b, c, d = (" ".join(rng.choices(WORDS, k=80)) for _ in range(4))
+    rows = [(7, a), (None, a), (3, a + " end"), (None, b), (None, b), (None, b + " end"), (None, c), (None, None), (None, " "), (9, d), (9, d)]
+    df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, __n int")
+    got = minhash.keep_one(df, k=5, percent=80)
+    kept = [(r["doc_id"], r["text"]) for r in got.collect()]
+    of_b = [x for x in kept if x[1] in (b, b + " end")]
+    assert got.columns == df.columns and len(of_b) == 1 and of_b[0][0] is None
+    assert sorted(map(str, set(kept) - set(of_b))) == sorted(map(str, {(3, a + " end"), (None, c), (None, None), (None, " "), (9, d)}))
+    assert len(kept) == 7 and minhash.keep_one(df.limit(0)).count() == 0
+
+
 def test_token_files_and_bpe(docs):
     import public_tokenizers
     import tiktoken
