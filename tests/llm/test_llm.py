@@ -186,6 +186,22 @@ def test_nearest(spark):
     assert nearest.search(df.limit(0), df).count() == 0
 
 
+@pytest.mark.parametrize("depth", [100, 1024])
+def test_nearest_repeated_rows(spark, depth):
+    """Rows that repeat a query's own id take no places; those of other ids are candidates each."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 8)).round(3)
+    rows = [(i, v) for i, v in enumerate(x)] + [(0, 4 * x[0])] * 60 + [(0, (3 + i / 64) * x[0]) for i in range(30)] + [(1, 2 * x[1])] * 3
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<double>")
+    asked = spark.createDataFrame([(i, x[i].tolist()) for i in (0, 1, 5)], df.schema)
+    got = nearest.search(df, asked, depth=depth).collect()
+    for q in (0, 1, 5):
+        mine = [r["vec_id"] for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])]
+        want = [i for _, i in sorted((-float((x[q] * v).sum()), i) for i, v in rows if i != q)[:20]]
+        assert len(mine) == 20 and q not in mine
+        assert mine == want if depth > len(rows) else len(set(mine) & set(want)) >= 0.9 * len(set(want))
+
+
 def test_licences(docs, spark):
     df, _ = docs
     more = spark.createDataFrame([(100, "All rights\nRESERVED, general public license; all rights reserved")], "doc_id long, text string")
