@@ -31,13 +31,14 @@ BLOCK, LONGEST = 256, 18
 MOST_IDS = 1 << LONGEST
 
 _MEMOS: dict[str, Memo] = {}
+_ADDED: dict[str, tuple] = {}
 
 
 def _encoder(path: str):
     """A memo of parts of texts and of pre-tokens to little-endian id bytes, one a process, for a byte-level BPE file.
 
     Parts are cut into pre-tokens by the public pattern, and the library's model merges each new pre-token;
-    strings of special tokens in a text are ordinary text."""
+    they hold no added tokens (see `_added`)."""
     if path not in _MEMOS:
         from tokenizers import Tokenizer
 
@@ -66,19 +67,36 @@ def _encoder(path: str):
     return _MEMOS[path]
 
 
+def _added(path: str):
+    """A search for the file's added tokens in a text, and the library's own encoder to id bytes for texts that hold one."""
+    if path not in _ADDED:
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        names = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+
+        def whole(text: str) -> bytes:
+            return array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+        _ADDED[path] = (lambda text: any(n in text for n in names)), whole
+    return _ADDED[path]
+
+
 _IDS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 
 
 def tokenise(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
-    """doc_id, n_tokens and ids (little-endian 32-bit) of each text, with `end_id` appended."""
+    """doc_id, n_tokens and ids (little-endian 32-bit) of each text, with `end_id` appended.
+
+    Added tokens of the file that stand in a text get their own ids, as by the library's defaults."""
     ship(docs.sparkSession)
     end = np.array([end_id], np.uint32).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = _encoder(path).__getitem__
+        get, (special, whole) = _encoder(path).__getitem__, _added(path)
         for batch in pieces(batches, "text", 4 << 20):
-            texts = map(cut, batch.column("text").to_pylist())
-            ids = [b"".join(map(get, parts)) + end for parts in texts]
+            texts = batch.column("text").to_pylist()
+            ids = [(whole(text) if special(text) else b"".join(map(get, cut(text)))) + end for text in texts]
             yield batch_of(_IDS, batch.column("doc_id"), [len(x) // 4 for x in ids], ids)
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(

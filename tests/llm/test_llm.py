@@ -91,6 +91,19 @@ def test_token_files_and_bpe(docs):
     assert rows[0]["n_tokens"] == 0 and rows[0]["ids_sha256"] == hashlib.sha256(b"").hexdigest()
 
 
+def test_added_tokens(spark):
+    """Added tokens inside texts, against the library's defaults."""
+    from tokenizers import Tokenizer
+
+    path = bpe.tokenizer_path("byte_bpe_50k.json")
+    t, end = Tokenizer.from_file(path), "<|endoftext|>"
+    texts = ["plain text", f"one{end}two", f"{end}", f" a  {end} {end}{end}\n b's", "<|endoftext", f"é {end[:5]}{end}", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in tokenids.tokenise(df, path).collect()}
+    assert got == {i: [*t.encode(x or "", add_special_tokens=False).ids, 0] for i, x in enumerate(texts)}
+    assert 50256 in got[1] and 50256 not in got[4]
+
+
 def test_ranks_in_any_order():
     """Vocabularies in which a merge brings up a pair of a lower rank than its own."""
     import tiktoken
