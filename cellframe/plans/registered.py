@@ -109,6 +109,15 @@ def interval_overlap(spark, d):
     return ordering.interval_overlap(made(40, 300), made(25, 470), 512)
 
 
+@query("""with l as (select event_id as id, event_id * 300 as s, event_id * 300 + 200 + user_id % 200 as e from events),
+ r as (select o_orderkey as id, o_orderkey * 200 as s, o_orderkey * 200 + 100 + o_custkey % 300 as e from orders)
+select l.id as l_id, r.id as r_id, greatest(l.s, r.s) - r.s as "start", least(l.e, r.e) - r.s as "end" from l join r on l.s < r.e and r.s < l.e""")
+def interval_overlap_all(spark, d):
+    made = lambda t, k, w, n: _t(spark, d, t).select(F.col(k).alias("id"), (F.col(k) * w).alias("start"), (F.col(k) * w + n).alias("end"))
+    events, orders = made("events", "event_id", 300, 200 + F.col("user_id") % 200), made("orders", "o_orderkey", 200, 100 + F.col("o_custkey") % 300)
+    return ordering.interval_overlap(events, orders, 512)
+
+
 @query("select c_custkey, n_name from customer join nation on c_nationkey = n_nationkey")
 def fk_lookup(spark, d):
     return lookup.by_position(_t(spark, d, "customer"), _t(spark, d, "nation"), "c_nationkey", ["n_name"], "n_nationkey").select("c_custkey", "n_name")
@@ -207,6 +216,22 @@ def complex_product(spark, d):
     return out.select("vec_id", F.col("pos").cast("bigint").alias("pos"), F.round("c.re", 9).alias("re"), F.round("c.im", 9).alias("im"))
 
 
+@query("select vec_id, i as pos, round((select sum(embedding[8*r+i+1]::double) from generate_series(0, 7) h(r)) / 8, 9) as v from embeddings, generate_series(0, 7) g(i)")
+def tensor_axis_mean_all(spark, d):
+    cell = tensors.axis_mean(tensors.shaped(F.col("embedding").cast("array<double>"), (8, 8)))
+    return _t(spark, d, "embeddings").select("vec_id", F.posexplode(cell).alias("pos", "v")).select("vec_id", F.col("pos").cast("bigint").alias("pos"), F.round("v", 9).alias("v"))
+
+
+@query("""select vec_id, i as pos, round(a * c - b * e, 9) as re, round(a * e + b * c, 9) as im from (select vec_id, i, embedding[2*i+1]::double as a, embedding[2*i+2]::double as b,
+ embedding[2*i+33]::double as c, embedding[2*i+34]::double as e from embeddings, generate_series(0, 15) g(i))""")
+def complex_product_all(spark, d):
+    v = F.col("embedding").cast("array<double>")
+    made = lambda a: tensors.complex_of(tensors.shaped(tensors.slab(v, [a], [a + 31]), (16, 2)))
+    df = _t(spark, d, "embeddings").select("vec_id", made(0).alias("A"), made(32).alias("B"))
+    out = df.select("vec_id", F.posexplode(column_expression("A * B", df.schema)).alias("pos", "c"))
+    return out.select("vec_id", F.col("pos").cast("bigint").alias("pos"), F.round("c.re", 9).alias("re"), F.round("c.im", 9).alias("im"))
+
+
 def _changes(spark, d):
     return _t(spark, d, "orders", "o_orderkey").where("o_orderkey % 7 = 3").select("ROWID", (F.col("o_totalprice") * 2).alias("o_totalprice"))
 

@@ -37,13 +37,21 @@ def test_query_equals_oracle(spark, name):
     assert sorted(repr([plain(r[c]) for c in sorted(names)]) for r in got.collect()) == want
 
 
-@pytest.mark.parametrize("name,table,times", [("time_baseline_all", "events", 10)])
+@pytest.mark.parametrize("name,table,times", [("time_baseline_all", "events", 10), ("tensor_axis_mean_all", "embeddings", 8),
+                                              ("complex_product_all", "embeddings", 16)])
 def test_whole_tables(spark, name, table, times):
     """Every row of the table takes part, `times` result rows each."""
     assert QUERIES[name](spark, DATA).count() == times * spark.read.parquet(f"{DATA}/{table}.parquet").count()
     test_query_equals_oracle(spark, name)
 
 
+def test_overlaps_of_whole_tables(spark):
+    found = QUERIES["interval_overlap_all"](spark, DATA)
+    for side, table in (("l_id", "events"), ("r_id", "orders")):
+        assert found.select(side).distinct().count() == spark.read.parquet(f"{DATA}/{table}.parquet").count()
+    test_query_equals_oracle(spark, "interval_overlap_all")
+
+
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLE)
 
