@@ -20,19 +20,19 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunks import cut
-from .common import Memo, batch_of, pieces, read, ship
-
-_BITS = [1 << i for i in range(256)]  # both levels of the bitmap: 256 groups of 256 ranks span 65,536
+from .chunks import Parts
+from .common import Memo, batch_of, gathered, pieces, read, ship
 
 
 class Bpe:
-    """An encoder and decoder for ranks (bytes to id) and a pre-tokenising pattern."""
+    """An encoder and decoder for ranks (bytes to id, of any size) and a pre-tokenising pattern."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 600_000):
-        self.ranks, self.pattern = ranks, regex.compile(pattern)
-        self.vocabulary = {i: b for b, i in ranks.items()}
-        self.memo = Memo(self._part, memo)  # of parts of texts and of pre-tokens
+    def __init__(self, ranks: dict[bytes, int], pattern: str, room: int = 64 << 20):
+        self.ranks, self.vocabulary = ranks, {i: b for b, i in ranks.items()}
+        # The bitmap's two levels: groups of 256 ranks, and as many groups as the ranks need.
+        self.bits = [1 << i for i in range(max(256, (max(ranks.values(), default=0) >> 8) + 1))]
+        self.memo = Memo(room)  # of pre-tokens
+        self.parts = Parts(regex.compile(pattern).findall, self._solve)
 
     @classmethod
     def load(cls, path: str, pattern: str) -> Bpe:
@@ -49,7 +49,7 @@ class Bpe:
         whole = ranks.get(token)
         if whole is not None:
             return [whole]
-        rank_of, bit_of, n = ranks.get, _BITS, len(token)
+        rank_of, bit_of, n = ranks.get, self.bits, len(token)
         stop = list(range(1, n + 1))  # where the part that begins here ends
         before = list(range(-1, n - 1))  # where the part before the one that begins here begins
         pair = [rank_of(token[i : i + 2], -1) for i in range(n - 1)]
@@ -107,18 +107,20 @@ class Bpe:
             i = stop[i]
         return out
 
-    def _part(self, part: str) -> bytes:
-        tokens = self.pattern.findall(part)
-        if len(tokens) == 1:
-            return array("i", self.encode_bytes(part.encode("utf-8", "surrogatepass"))).tobytes()
-        return b"".join(map(self.memo.__getitem__, tokens))
-
-    def encode_raw(self, text: str) -> bytes:
-        """The ids of a text as 32-bit integers; each match of the pattern is encoded separately."""
-        return b"".join(map(self.memo.__getitem__, cut(text)))
+    def _solve(self, tokens: list[str]) -> list[bytes]:
+        """The ids of distinct pre-tokens as 32-bit integers."""
+        get, put, encode, out = self.memo.get, self.memo.put, self.encode_bytes, []
+        for t in tokens:
+            value = get(t)
+            if value is None:
+                value = array("i", encode(t.encode("utf-8", "surrogatepass"))).tobytes()
+                put(t, value)
+            out.append(value)
+        return out
 
     def encode(self, text: str) -> list[int]:
-        return array("i", self.encode_raw(text)).tolist()
+        """The ids of a text; each match of the pattern is encoded separately."""
+        return array("i", self.parts.text(text)).tolist()
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.vocabulary.__getitem__, ids))
@@ -170,12 +172,10 @@ class Digests:
         self.decimal = pa.array([f"{i}," for i in range(n)], pa.large_string())
         self.octets = pa.array([coder.vocabulary.get(i, b"") for i in range(n)], pa.large_binary())
 
-    def __call__(self, texts: list[str]) -> tuple[list[int], list[str], list[str]]:
-        found = list(map(self.coder.encode_raw, texts))
-        counts = [len(x) // 4 for x in found]
-        ids = pa.array(np.frombuffer(b"".join(found), np.int32))
-        ends = np.cumsum([0, *counts])
-        return counts, self._sha256(self.decimal.take(ids), ends, 1), self._sha256(self.octets.take(ids), ends, 0)
+    def __call__(self, texts: pa.Array) -> tuple[list[int], list[str], list[str]]:
+        found, ends = self.coder.parts.column(texts)
+        ids, ends = pa.array(found.view(np.int32)), np.concatenate(([0], ends))
+        return np.diff(ends).tolist(), self._sha256(self.decimal.take(ids), ends, 1), self._sha256(self.octets.take(ids), ends, 0)
 
     @staticmethod
     def _sha256(taken: pa.Array, ends: np.ndarray, less: int) -> list[str]:
@@ -197,8 +197,8 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Digests(bpe(path, pattern))
-        for batch in pieces(batches, "text", 8 << 20):
-            yield batch_of(_DIGESTS, batch.column("doc_id"), *of(batch.column("text").to_pylist()))
+        for batch in pieces(gathered(batches, "text", 8 << 20), "text", 12 << 20):
+            yield batch_of(_DIGESTS, batch.column("doc_id"), *of(batch.column("text")))
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(
         run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import io
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -16,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
+#: Bytes of a row group of intermediate tables, which a writer holds in memory.
+GROUP = 32 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -45,12 +48,15 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset and all runs
+    on this machine (tests)."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = getattr(sc, "_cellframe_dir", None)
         if base is None:
+            if not re.match(r"local(\[|$)", sc.master):
+                raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
             base = sc._cellframe_dir = "file://" + tempfile.mkdtemp(prefix="cellframe-shared-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(base)
@@ -61,16 +67,29 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/cellframe-{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes `df` to the shared folder and reads it back: later steps start from files, not from lineage."""
+def materialize(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+    """Writes `df` to the shared folder and reads it back: later steps start from files, not from lineage.
+
+    `files` is the most files to write, for tables whose rows are known to be few for each partition; it has
+    to grow with the rows (see `files_for`)."""
     path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    (df if files is None else df.coalesce(files)).write.option("compression", "zstd").option("parquet.block.size", GROUP).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cellframe_path = path
+    return out
+
 
+def files_for(rows: int, each: int = 1 << 17) -> int:
+    """Files for a number of rows, `each` rows in a file."""
+    return max(1, -(-rows // each))
 
-def remove(spark: SparkSession, path: str) -> None:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+def remove(*tables: DataFrame) -> None:
+    """Deletes the files of tables from `materialize` that no result reads any more."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(df._cellframe_path)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def octets(text: Column | str) -> Column:
@@ -78,25 +97,29 @@ def octets(text: Column | str) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")).cast("binary")
 
 
-class Memo(dict):
-    """A bounded memo of a pure function: two generations, so that the frequent keys stay."""
+class Memo:
+    """A memo of strings to bytes, bounded by bytes: two generations, so that the frequent keys stay.
+
+    `room` is for both generations together; an entry counts its key, its value and what a dictionary takes for it."""
 
-    def __init__(self, fn, limit: int = 400_000):
-        super().__init__()
-        self.fn, self.limit, self.old = fn, limit, {}
+    ENTRY = 190
 
-    def __missing__(self, key):
-        value = self.old.get(key)
+    def __init__(self, room: int = 64 << 20):
+        self.room, self.used, self.new, self.old = room // 2, 0, {}, {}
+
+    def get(self, key: str) -> bytes | None:
+        value = self.new.get(key)
         if value is None:
-            value = self.fn(key)
-        self.put(key, value)
+            value = self.old.get(key)
+            if value is not None:
+                self.put(key, value)
         return value
 
-    def put(self, key, value) -> None:
-        if len(self) >= self.limit:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
+    def put(self, key: str, value: bytes) -> None:
+        if self.used >= self.room:
+            self.old, self.new, self.used = self.new, {}, 0
+        self.new[key] = value
+        self.used += len(key) + len(value) + self.ENTRY
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -127,6 +150,19 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = 32 << 20
             start, base = stop, int(lengths[stop - 1])
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: str, least: int) -> Iterator[pa.RecordBatch]:
+    """Joins batches until the named column holds `least` bytes."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += int(_lengths(batch.column(column)).sum())
+        if size >= least:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _lengths(column: pa.Array) -> np.ndarray:
     import pyarrow.compute as pc
 

@@ -2,7 +2,7 @@
 
 A file set in the shared folder has three tables:
 * `codebook`: id and code length; canonical codes follow from the lengths alone;
-* `tokens/shard`: one row for each document, in ascending doc_id order within and across shards: doc_id,
+* `tokens`: one row for each document, in ascending doc_id order within and across shards: shard, doc_id,
   n_tokens, the Huffman bits (most significant first), and a checkpoint, the bit offset of each block of
   256 ids.  Blocks are decoded independently of each other, many at once, one table look-up an id.
 
@@ -18,67 +18,92 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import pattern, tokenizer_path
-from .chunks import cut
-from .common import Memo, batch_of, materialize, new_path, pieces, read, ship
+from .chunks import Parts
+from .common import GROUP, batch_of, gathered, materialize, new_path, pieces, read, remove, ship
 
+#: Ids of a block, and the longest code of vocabularies that it is long enough for (see `longest_for`).
 BLOCK, LONGEST = 256, 18
-#: Ids are below this; the code table on the driver and executors is bounded by it.
-MOST_IDS = 1 << LONGEST
+#: The most different ids; the code table on the driver and executors is bounded by it.
+MOST_IDS = 1 << 24
+#: Where rows without a doc_id stand.
+NO_ID = -(1 << 63)
 
-_MEMOS: dict[str, Memo] = {}
+_ENCODERS: dict[str, Parts] = {}
 _ADDED: dict[str, tuple] = {}
 
 
-def _encoder(path: str):
-    """A memo of parts of texts and of pre-tokens to little-endian id bytes, one a process, for a byte-level BPE file.
+def _encoder(path: str) -> Parts:
+    """An encoder by parts, one a process, for a byte-level BPE file; parts hold no added tokens (see `_added`).
 
-    Parts are cut into pre-tokens by the public pattern, and the library's model merges each new pre-token;
-    they hold no added tokens (see `_added`)."""
-    if path not in _MEMOS:
-        from tokenizers import Tokenizer
+    The library's model merges all distinct words of a batch at once: they are joined by line ends, at which it cuts,
+    and a token that begins with the blank's letter begins the next word."""
+    if path not in _ENCODERS:
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        tokenizer = Tokenizer.from_file(path)
-        model, split = tokenizer.model, regex.compile(pattern()).findall
-        model._resize_cache(0)  # each pre-token comes once: the memo stands before the model
+        model = Tokenizer.from_file(path).model
+        lines = Tokenizer(model)
+        lines.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
         # The byte-level alphabet: printable bytes stand for themselves, the others for characters from 256 on.
         plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         letters = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in plain)}
-
-        def token(text: str) -> bytes:
-            if text.isascii() and text.isprintable():
-                data = text.replace(" ", blank)
-            else:
-                data = text.encode("utf-8", "surrogatepass").decode("latin-1").translate(letters)
-            return array("I", [t.id for t in model.tokenize(data)]).tobytes()
-
-        def ids(part: str) -> bytes:
-            if (part[1:] if part[0] == " " else part).isalpha():  # the pattern takes letters with a blank before them whole
-                return token(part)
-            tokens = split(part)
-            return token(part) if len(tokens) == 1 else b"".join(map(memo.__getitem__, tokens))
-
         blank = chr(letters[32])
-        memo = _MEMOS[path] = Memo(ids, 600_000)
-    return _MEMOS[path]
+        table = np.array([letters.get(b, b) for b in range(256)], "<u4")
+        joined = np.where(np.arange(256) == 10, 10, table).astype("<u4")
+        begins = np.array([(lines.id_to_token(i) or "").startswith(blank) for i in range(lines.get_vocab_size())], bool)
+        mark = np.uint32(lines.token_to_id(blank))
+
+        def spelled(text: str, table: np.ndarray) -> str:
+            return table[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)].tobytes().decode("utf-32-le")
+
+        def words(stems: pa.Array, lead: str) -> pa.Array:
+            """Of words without a blank in front, each has a blank behind it, which is taken out again."""
+            size = len(stems)
+            at = np.append(np.arange(0, size, 4096), size).astype(np.int32)
+            between = "\n " if lead else "\n \n"
+            found, ends, total = [], [np.zeros(1, np.int64)], 0
+            for text in pc.binary_join(pa.ListArray.from_arrays(pa.array(at), stems), between).to_pylist() if size else []:
+                ids = np.array(lines.encode_batch_fast([spelled(lead + text + ("" if lead else "\n "), joined)], add_special_tokens=False)[0].ids, np.uint32)
+                if lead:
+                    ends.append(np.append(np.flatnonzero(begins[ids])[1:], len(ids)) + total)
+                else:
+                    last = np.flatnonzero(ids == mark)
+                    ids = np.delete(ids, last)
+                    ends.append(last - np.arange(len(last)) + total)
+                found.append(ids)
+                total += len(ids)
+            data, offsets = np.concatenate(found) if found else np.empty(0, np.uint32), np.concatenate(ends) * 4
+            if len(offsets) != size + 1:
+                raise ValueError(f"{path} is no byte-level vocabulary: {len(offsets) - 1} words are found in {size}")
+            return pa.Array.from_buffers(pa.large_binary(), size, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+        def solve(tokens: list[str]) -> list[bytes]:
+            return [array("I", [t.id for t in model.tokenize(spelled(x, table))]).tobytes() for x in tokens]
+
+        _ENCODERS[path] = Parts(regex.compile(pattern()).findall, solve, words)
+    return _ENCODERS[path]
 
 
 def _added(path: str):
-    """A search for the file's added tokens in a text, and the library's own encoder to id bytes for texts that hold one."""
+    """A search for the file's added tokens in a column, and the library's own encoder to ids for texts that hold one."""
     if path not in _ADDED:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         names = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
 
-        def whole(text: str) -> bytes:
-            return array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        def special(column: pa.Array) -> np.ndarray:
+            found = np.zeros(len(column), bool)
+            for name in names:
+                found |= pc.match_substring(column, name).to_numpy(zero_copy_only=False)
+            return found
 
-        _ADDED[path] = (lambda text: any(n in text for n in names)), whole
+        _ADDED[path] = special, lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
     return _ADDED[path]
 
 
@@ -90,14 +115,28 @@ def tokenise(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
 
     Added tokens of the file that stand in a text get their own ids, as by the library's defaults."""
     ship(docs.sparkSession)
-    end = np.array([end_id], np.uint32).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, (special, whole) = _encoder(path).__getitem__, _added(path)
-        for batch in pieces(batches, "text", 4 << 20):
-            texts = batch.column("text").to_pylist()
-            ids = [(whole(text) if special(text) else b"".join(map(get, cut(text)))) + end for text in texts]
-            yield batch_of(_IDS, batch.column("doc_id"), [len(x) // 4 for x in ids], ids)
+        encoder, (special, whole) = _encoder(path), _added(path)
+        for batch in pieces(gathered(batches, "text", 8 << 20), "text", 12 << 20):
+            texts = batch.column("text")
+            apart = special(texts)
+            if apart.any():
+                plain = pc.if_else(pa.array(apart), "", texts)
+                ids, ends = encoder.column(plain)
+                rows = np.split(ids, ends[:-1])
+                for i in np.flatnonzero(apart).tolist():
+                    rows[i] = whole(texts[i].as_py())
+                ids, ends = np.concatenate(rows), np.cumsum([len(x) for x in rows])
+            else:
+                ids, ends = encoder.column(texts)
+            size = np.diff(ends, prepend=0) + 1
+            data, offsets, a = np.full(len(ids) + len(ends), end_id, "<u4"), np.concatenate(([0], np.cumsum(size) * 4)).astype(np.int32), 0
+            for row, b in enumerate(ends.tolist()):
+                data[a + row : b + row] = ids[a:b]
+                a = b
+            yield batch_of(_IDS, batch.column("doc_id"), pa.array(size),
+                           pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(data)]))
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(
         run, "doc_id bigint, n_tokens bigint, ids binary")
@@ -121,6 +160,11 @@ def _counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pydict({"id": pa.array(at, pa.int64()), "count": pa.array(total[at], pa.int64())})
 
 
+def longest_for(n: int) -> int:
+    """The longest code for n ids: two bits more than codes of equal length have, LONGEST at least."""
+    return max(LONGEST, (max(1, n) - 1).bit_length() + 2)
+
+
 def code_lengths(counts: np.ndarray, longest: int = LONGEST) -> np.ndarray:
     """Optimal code lengths of at most `longest` bits for positive counts (package-merge)."""
     n = len(counts)
@@ -221,10 +265,19 @@ class Code:
         return out
 
 
-_ROWS = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("checkpoints", pa.binary()), ("payload", pa.binary())])
+_ROWS = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("checkpoints", pa.binary()), ("payload", pa.binary()),
+                   ("crc", pa.int64())])
 _ROWS_DDL = "shard int, doc_id bigint, n_tokens bigint, checkpoints binary, payload binary"
 
 
+def shards(bounds: np.ndarray, doc_id: np.ndarray, crc: np.ndarray) -> np.ndarray:
+    """The shard of each row in the order of (doc_id, crc): shard i has the ids from bounds[i - 1] (without) to bounds[i].
+    A doc_id that is several bounds has as many shards, dealt by the checksum of the row's ids."""
+    low = np.searchsorted(bounds, doc_id, side="left")
+    many = np.searchsorted(bounds, doc_id, side="right") - low
+    return (low + (crc * np.maximum(many, 1) >> 32)).astype(np.int32)
+
+
 def _encoding(sent, bounds: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = sent.value
@@ -236,8 +289,10 @@ def _encoding(sent, bounds: np.ndarray):
             raw, start = data.tobytes(), np.concatenate(([0], byte_end[:-1]))
             payload = [raw[a:b] for a, b in zip(start.tolist(), byte_end.tolist(), strict=True)]
             marks = [inside[a:b:BLOCK].astype("<u8").tobytes() for a, b in zip((ends - n).tolist(), ends.tolist(), strict=True)]
-            shard = np.searchsorted(bounds, batch.column("doc_id").fill_null(-(1 << 63)).to_numpy(), side="left")
-            yield batch_of(_ROWS, shard.astype(np.int32), batch.column("doc_id"), n, marks, payload)
+            whole = memoryview(ids).cast("B")
+            crc = np.array([zlib.crc32(whole[4 * a : 4 * b]) for a, b in zip((ends - n).tolist(), ends.tolist(), strict=True)], np.int64)
+            shard = shards(bounds, batch.column("doc_id").fill_null(NO_ID).to_numpy(), crc)
+            yield batch_of(_ROWS, shard, batch.column("doc_id"), n, marks, payload, crc)
 
     return run
 
@@ -246,7 +301,7 @@ def write_tokens(ids: DataFrame, path: str, shard_tokens: int = 1 << 26) -> None
     """Writes a file set of `ids` (doc_id, n_tokens, ids) under `path`; rows of a null doc_id come first.
 
     `ids` is read twice (counts, then codes), so it should be a table.  Rows of equal doc_id are ordered by
-    their bits.  An empty table gives an empty file set.
+    the CRC-32 of their ids, and dealt to several shards where they are many.  An empty table gives an empty file set.
     """
     spark = ids.sparkSession
     ship(spark)
@@ -255,15 +310,16 @@ def write_tokens(ids: DataFrame, path: str, shard_tokens: int = 1 << 26) -> None
     if len(known) > MOST_IDS or len(known) and known["id"].max() >= 1 << 27:
         raise ValueError(f"more than {MOST_IDS} different ids")
     number = known["id"].to_numpy(dtype=np.int64)
-    code = Code(number, code_lengths(known["count"].to_numpy(dtype=np.int64)))
+    code = Code(number, code_lengths(known["count"].to_numpy(dtype=np.int64), longest_for(len(known))))
     spark.createDataFrame(pa.table({"id": code.ids, "length": code.lengths})).coalesce(1).write.parquet(f"{path}/codebook")
     total = int(known["count"].sum()) if len(known) else 0
     n = max(spark.sparkContext.defaultParallelism, -(-total // shard_tokens))
-    bounds = ids.approxQuantile("doc_id", [i / n for i in range(1, n)], min(0.01, 0.1 / n)) if total else []
-    bounds = np.unique(np.array(bounds, float)).astype(np.int64)
-    rows = ids.mapInArrow(_encoding(spark.sparkContext.broadcast(code), bounds), _ROWS_DDL)
-    rows = rows.repartitionById(len(bounds) + 1, "shard").sortWithinPartitions("doc_id", "payload")
-    rows.write.option("compression", "uncompressed").parquet(f"{path}/tokens")
+    keys = ids.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"))
+    bounds = keys.approxQuantile("doc_id", [i / n for i in range(1, n)], max(1e-6, min(0.01, 0.1 / n))) if total and n > 1 else []
+    bounds = np.array(sorted(bounds), float).astype(np.int64)
+    rows = ids.mapInArrow(_encoding(spark.sparkContext.broadcast(code), bounds), f"{_ROWS_DDL}, crc bigint")
+    rows = rows.repartitionById(len(bounds) + 1, "shard").sortWithinPartitions("doc_id", "crc", "payload").drop("crc")
+    rows.write.option("compression", "uncompressed").option("parquet.block.size", GROUP).parquet(f"{path}/tokens")
 
 
 def _decoding(sent, digest: bool):
@@ -303,25 +359,26 @@ def read_tokens(spark: SparkSession, path: str, digest: bool = False) -> DataFra
 
 def starts(rows: DataFrame, totals: DataFrame) -> DataFrame:
     """`rows` with start: the ids of all rows before, from shards' totals (one row a shard) and sums within shards."""
-    known = {r[0]: r[1] for r in totals.groupBy("shard").agg(F.sum("n_tokens")).collect()}
-    base, pairs = 0, []
-    for shard in sorted(known):
-        pairs += [F.lit(shard), F.lit(base)]
-        base += known[shard]
+    order = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard
+    sums = totals.groupBy(F.col("shard").alias("s")).agg(F.sum("n_tokens").alias("sum")).select(
+        "s", F.coalesce(F.sum("sum").over(order), F.lit(0)).alias("base"))
     before = Window.partitionBy("shard").orderBy("doc_id", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
-    offset = F.create_map(*pairs)[F.col("shard")] if pairs else F.lit(0)
-    return rows.withColumn("start", (offset + F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).cast("bigint"))
+    inside = rows.withColumn("inside", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
+    return inside.join(sums, F.col("shard") == F.col("s")).withColumn("start", F.col("base") + F.col("inside")).drop("s", "base", "inside")
 
 
 def token_files(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of each row of `docs` as read back from a new file set.
 
     Null and empty texts have the end id only.  Columns beside doc_id and text are ignored; repeated rows
-    are written each; an empty table gives an empty result; texts are tokenised whole.
+    are written each, and rows of equal doc_id stand in the order of their CRC-32; an empty table gives an empty
+    result; texts are tokenised whole, however long, and take one row of a file each.
     """
     spark = docs.sparkSession
     where = new_path(spark, "token-files")
-    write_tokens(materialize(tokenise(docs, path, end_id), "ids"), where)
+    ids = materialize(tokenise(docs, path, end_id), "ids")
+    write_tokens(ids, where)
+    remove(ids)
     stored = spark.read.schema(_ROWS_DDL).parquet(f"{where}/tokens").select("shard", "n_tokens")
     out = starts(read_tokens(spark, where, digest=True), stored)
     return out.select("doc_id", "start", "n_tokens", "ids_crc32")
