@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, batch_of, materialize, mix64, octets, pieces, read, ship
+from .common import U64, batch_of, files_for, materialize, mix64, octets, pieces, read, remove, ship
 from .words import BLANK, sets
 
 BANDS, ROWS = 25, 5
@@ -157,23 +157,25 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, comp) for each id on an edge (a, b): the smallest id that it reaches.
-
-    Each round takes the smallest label among the neighbours and then the label's own label; labels
-    are kept in checkpoints, and only one number a round comes to the driver.
-    """
-    both = materialize(
-        edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a <> b").distinct(), "edges")
-    labels = both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select(
-        "id", F.least("id", "m").alias("comp")).checkpoint()
+    """id and comp for each id on an edge (a, b): comp is the smallest id that it reaches (and a column `was`), as a table.
+
+    Each round takes the smallest label among the neighbours and then the label's own label.  Every round's
+    labels are a table of their own, so no lineage grows, and only numbers come to the driver."""
+    both = materialize(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a <> b").distinct(),
+                       "edges", files_for(2 * edges.count(), 1 << 18))
+    files = files_for(both.count(), 1 << 18)
+    labels = materialize(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select(
+        "id", F.col("id").alias("was"), F.least("id", "m").alias("comp")), "labels", files)
     while True:
-        near = both.join(labels, both.b == labels.id).groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("m"))
-        step = labels.join(near, "id").select("id", F.col("comp").alias("was"), F.least("comp", "m").alias("comp"))
-        step = step.checkpoint()
+        now = labels.select("id", "comp")
+        near = both.join(now, both.b == now.id).groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("m"))
+        step = now.join(near, "id").select("id", F.col("comp").alias("was"), F.least("comp", "m").alias("comp"))
         up = step.select(F.col("id").alias("comp"), F.col("comp").alias("higher"))
-        step = step.join(up, "comp").select("id", "was", F.col("higher").alias("comp")).checkpoint()
-        labels = step.select("id", "comp")
-        if step.where("was <> comp").isEmpty():
+        after = materialize(step.join(up, "comp").select("id", "was", F.col("higher").alias("comp")), "labels", files)
+        remove(labels)
+        labels = after
+        if after.where("was <> comp").isEmpty():
+            remove(both)
             return labels
 
 
@@ -183,32 +185,34 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     Documents are linked when 100 * |A & B| >= percent * |A | B| over distinct k-word shingles.
     Null, empty and blank texts have no shingles, link with nothing and are kept.  Rows that repeat a
     doc_id get the same verdict when their texts are equal; a null doc_id is kept only if its whole
-    class has no id.  An empty table gives an empty result.  Very long texts are hashed whole.
+    class has no id.  An empty table gives an empty result.  Very long texts are hashed whole, segment by segment.
+    Intermediate tables are removed but for the last ones, which the result reads.
     """
     spark = docs.sparkSession
     ship(spark)
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), octets("text").alias("text"))
     sig = materialize(base.mapInArrow(_signing(k, bands, rows), _SIG_DDL), "signatures")
+    files = files_for(sig.count(), 1 << 15)  # of tables with a few rows for each document
     full = sig.where("n > 0")
     reps = materialize(
         full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("s1").alias("s1"),
                                    F.first("s2").alias("s2"), F.first("bands").alias("bands")),
-        "classes")
+        "classes", files)
     able = reps.where("rep is not null")
     members = able.select("rep", F.explode("bands").alias("key"))
     pivots = members.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
-    shared = materialize(members.join(pivots, "key"), "buckets")
+    shared = materialize(members.join(pivots, "key"), "buckets", files)
     facts = able.select("rep", "n", "s1", "s2")
     star = shared.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("rep").alias("b")),
                                            F.struct(F.col("rep").alias("a"), F.col("hi").alias("b")))).alias("p"))
     star = star.select("p.a", "p.b").where("a < b").distinct()
     o = facts.select(F.col("rep").alias("b"), F.col("n").alias("o_n"), F.col("s1").alias("o1"), F.col("s2").alias("o2"))
     near = _near(percent, min(128, bands * rows))
-    star = materialize(star.join(facts.withColumnRenamed("rep", "a"), "a").join(o, "b").where(near).select("a", "b"), "star")
+    star = materialize(star.join(facts.withColumnRenamed("rep", "a"), "a").join(o, "b").where(near).select("a", "b"), "star", files)
     asked = star.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
     # The whole texts are dealt once, by a merge join at every size; what follows draws on this pool.
     texts = base.withColumnRenamed("doc_id", "rep").join(shared.select("rep").distinct().hint("merge"), "rep", "left_semi")
-    texts = materialize(texts, "pool")
+    texts = materialize(texts, "pool", files)
     edges = materialize(_verified(star, _texts(texts, asked), k, percent), "links")
     labels = components(edges)
 
@@ -221,7 +225,26 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     strays = known.join(mixed, "key").select("main", "rep", "comp").distinct()
     strays = strays.join(facts.select("rep", "n"), "rep").select(
         "main", "rep", "comp", "n", (F.col("comp") != F.col("main")).alias("stray"))
-    strays = materialize(strays, "strays")
+    strays = materialize(strays, "strays", files)
+    remove(star)
+    if not strays.isEmpty():
+        more = materialize(_strays_met(strays, texts, k, percent), "links")
+        if not more.isEmpty():
+            before, labels = labels, components(edges.union(labels.select(F.col("comp"), F.col("id"))).union(more))
+            remove(before)
+        remove(more)
+    remove(shared, texts, edges, strays)
+
+    found = reps.select("digest", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
+        "digest", F.coalesce("comp", "rep").alias("component_id"))
+    out = full.select("doc_id", "n", "digest").join(found, "digest").select("doc_id", "n", "component_id")
+    out = out.union(sig.where("n = 0").select("doc_id", "n", "doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id",
+                      F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _strays_met(strays: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) between components: each stray of a `main` meets all its documents of other components."""
     sizes = strays.groupBy("main").agg(
         F.ceil(F.sum(F.when(F.col("stray"), F.col("n")).otherwise(0)) / BLOCK).cast("int").alias("ns"),
         F.ceil(F.sum("n") / (4 * BLOCK)).cast("int").alias("nm"))
@@ -233,16 +256,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
                                         row.alias("i"), F.explode(span("nm")).alias("j")).union(
         dealt.select("main", "rep", "comp", F.lit(False), F.lit(True), F.explode(span("ns")), col))
     blocks = dealt.join(_texts(texts, strays.select("rep").distinct()), "rep")
-    more = materialize(blocks.groupBy("main", "i", "j").applyInArrow(_block(k, percent), "a bigint, b bigint"), "links")
-    if not more.isEmpty():
-        labels = components(edges.union(labels.select(F.col("comp"), F.col("id"))).union(more))
-
-    found = reps.select("digest", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
-        "digest", F.coalesce("comp", "rep").alias("component_id"))
-    out = full.select("doc_id", "n", "digest").join(found, "digest").select("doc_id", "n", "component_id")
-    out = out.union(sig.where("n = 0").select("doc_id", "n", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id",
-                      F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return blocks.groupBy("main", "i", "j").applyInArrow(_block(k, percent), "a bigint, b bigint")
 
 
 def _texts(texts: DataFrame, asked: DataFrame) -> DataFrame:
