@@ -197,7 +197,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Digests(bpe(path, pattern))
-        for batch in pieces(gathered(batches, "text", 8 << 20), "text", 12 << 20):
+        for batch in pieces(gathered(batches, "text", 4 << 20), "text", 6 << 20):
             yield batch_of(_DIGESTS, batch.column("doc_id"), *of(batch.column("text")))
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(

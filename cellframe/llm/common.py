@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import io
 import os
@@ -87,9 +88,12 @@ def files_for(rows: int, each: int = 1 << 17) -> int:
 def remove(*tables: DataFrame) -> None:
     """Deletes the files of tables from `materialize` that no result reads any more."""
     for df in tables:
-        sc = df.sparkSession.sparkContext
-        path = sc._jvm.org.apache.hadoop.fs.Path(df._cellframe_path)
-        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+        remove_path(df.sparkSession, df._cellframe_path)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def octets(text: Column | str) -> Column:
@@ -140,14 +144,30 @@ def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:
 
 
 def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = 32 << 20) -> Iterator[pa.RecordBatch]:
-    """Cuts batches so that the named binary or string column holds about `limit` bytes at most (one row at least)."""
+    """Cuts batches so that the named binary or string column holds about `limit` bytes at most (one row at least).
+
+    Memory that the pieces before have left is given back to the system every 8 MB and at the end."""
+    done = 0
     for batch in batches:
         lengths = np.cumsum(_lengths(batch.column(column)))
         start, base = 0, 0
         while start < batch.num_rows:
             stop = max(start + 1, int(np.searchsorted(lengths, base + limit, side="right")))
             yield batch.slice(start, stop - start)
+            done += int(lengths[stop - 1]) - base
             start, base = stop, int(lengths[stop - 1])
+            if done >= 8 << 20:
+                trim()
+                done = 0
+    trim()
+
+
+def trim() -> None:
+    """Gives free memory of Arrow's pool and of the C library back to the system."""
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back is not None:
+        give_back(0)
 
 
 def gathered(batches: Iterator[pa.RecordBatch], column: str, least: int) -> Iterator[pa.RecordBatch]:

@@ -253,3 +253,24 @@ def _cutting(sent):
 
 def op6_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+OP6_SQL = r"""
+with d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+b as (
+  select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+windows as (
+  select distinct item_id, k, w[i : i + k - 1] as g from (select *, unnest(range(1, len(w) - k + 2)) as i from (select *, least(13, len(w)) as k from b where len(w) > 0))),
+places as (
+  select doc_id, k, i, w[i : i + k - 1] as g from (select *, unnest(range(1, len(w) - k + 2)) as i from d, (select distinct k from windows) where len(w) >= k)),
+hits as (
+  select doc_id, i, k, item_id from places join windows using (k, g)),
+marked as (
+  select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + k)) as p from hits) group by doc_id),
+named as (
+  select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, item_id::varchar as item from hits where item_id is not null) group by doc_id)
+select d.doc_id, len(d.w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256,
+  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(d.w) as contaminated
+from d left join marked using (doc_id) left join named using (doc_id)
+"""

@@ -283,3 +283,25 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
 
 def op5_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), k=3, percent=85)
+
+
+OP5_SQL = r"""
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+shingles as (
+  select distinct doc_id, unnest(case when len(w) < 3 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end) as g
+  from words where len(w) > 0),
+sizes as (
+  select doc_id, count(*) as n from shingles group by doc_id),
+common as (
+  select x.doc_id as a, y.doc_id as b, count(*) as c from shingles x join shingles y on x.g = y.g and x.doc_id < y.doc_id group by 1, 2),
+links as (
+  select a, b from common join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
+reached as (
+  select doc_id, doc_id as other from words union
+  select r.doc_id, e.b from reached r join (select a, b from links union all select b, a from links) e on r.other = e.a),
+comps as (
+  select doc_id, min(other) as component_id from reached group by doc_id)
+select w.doc_id, coalesce(n, 0) as n_shingles, component_id, w.doc_id = component_id as kept
+from words w join comps using (doc_id) left join sizes using (doc_id)
+"""

@@ -21,4 +21,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op1_chat_collapse": chat.OP1_SQL}
+    """op2, op7 and op9 rest on trained or corpus-wide choices, op3, op4 and op8 on coders and codes: tests hold those."""
+    return {"op1_chat_collapse": chat.OP1_SQL, "op5_minhash_dedup": minhash.OP5_SQL, "op6_decontaminate": decontaminate.OP6_SQL,
+            "op10_arc_to_warc": warc.OP10_SQL}

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, mix64, octets, pieces, read, ship
+from .common import U64, mix64, octets, pieces, read, ship, trim
 from .words import ALNUM, word_hashes
 
 #: Buckets of the feature hash (a power of two), and the most labelled rows that training looks at.
@@ -90,9 +90,12 @@ def _fitting(bits: int, epochs: int):
         for epoch in range(epochs):
             for i in np.random.default_rng(epoch).permutation(learned).tolist():
                 model.learn(seen[i], labels[i])
-        w = model.weights()
+        w = np.concatenate([model.weights(slice(a, a + (1 << 18))) for a in range(0, len(model.z), 1 << 18)])
+        del model
         w[-1] -= cutoff(np.array([w[seen[i]].sum() for i in kept]), np.array([labels[i] for i in kept]))
         at = np.flatnonzero(w)
+        del seen
+        trim()
         yield pa.RecordBatch.from_pydict({"bucket": pa.array(at, pa.int64()), "weight": pa.array(w[at], pa.float64())})
 
     return run

@@ -1,51 +1,45 @@
 """URL verdicts: allow and block rules first, then logistic regression on hashed character n-grams.
 
-The model is learned on the driver from a small labelled table of URLs (a parameter; the default stands
-below) and is applied to the n-grams of host and path, each with its own hash seed.
+The model is trained on the driver from a small table of labelled URLs (an argument; `labelled_urls` makes the
+default from word lists) and is applied to the n-grams of host and path, each with its own hash seed.  Rules are
+looked up by the host's suffixes, so their number does not slow a verdict.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, ship
-
-BITS, GRAMS = 16, (3, 4, 5)
-
-#: URLs labelled 1 (unwanted) and 0.
-LABELLED = [
-    ("http://casino-bonus.example/slots/free-spins", 1), ("http://win-poker-online.example/bet/jackpot", 1),
-    ("http://cheap-pills.example/viagra/buy-now", 1), ("http://adult-xxx-videos.example/hot/sex", 1),
-    ("http://free-porn.example/tube/xxx", 1), ("http://crack-keygen.example/warez/serial", 1),
-    ("http://torrent-movies.example/download/cracked", 1), ("http://earn-money-fast.example/click/ad", 1),
-    ("http://best-loans-now.example/payday/cash", 1), ("http://replica-watches.example/cheap/luxury", 1),
-    ("http://spam-links.example/seo/backlinks", 1), ("http://bet365-mirror.example/casino/login", 1),
-    ("http://hot-singles.example/dating/adult", 1), ("http://miracle-diet.example/weight-loss/pills", 1),
-    ("http://phish-login.example/verify/account/update", 1), ("http://malware-drop.example/exe/setup.exe", 1),
-    ("http://en.wikipedia.example/wiki/Mathematics", 0), ("http://docs.python.example/library/functions.html", 0),
-    ("http://news.example/2020/05/politics/article.html", 0), ("http://university.example/courses/physics/lecture", 0),
-    ("http://blog.example/2019/travel/notes", 0), ("http://github.example/project/readme", 0),
-    ("http://recipes.example/soup/onion.html", 0), ("http://museum.example/collections/paintings", 0),
-    ("http://library.example/books/catalogue?page=2", 0), ("http://weather.example/forecast/week", 0),
-    ("http://forum.example/thread/gardening/roses", 0), ("http://research.example/papers/2018/abstract", 0),
-    ("http://www.example/en/12345", 0), ("http://m.example/de/39547.html", 0),
-    ("http://shop.example/fr/25930", 0), ("http://school.example/es/26123?page=2", 0),
-]
-
-
-def _split(url: str) -> tuple[str, str]:
-    _, mark, rest = url.partition("://")
-    if not mark:
-        return "", ""
-    host = re.split(r"[/?#]", rest, maxsplit=1)[0]
-    lowered = re.sub(r"[A-Z]", lambda m: m[0].lower(), host)
-    return lowered, re.split(r"[?#]", rest[len(host) :], maxsplit=1)[0]
+from .common import U64, mix64, read, ship
+
+#: Buckets of the n-gram hash (a power of two), lengths of n-grams in bytes, and the most labelled URLs that training takes.
+BITS, GRAMS, SAMPLE = 16, (3, 4, 5), 20_000
+#: The log odds of label 1 without any known n-gram.
+BIAS = -1.0
+
+#: Words of unwanted and of wanted URLs, as hosts and paths have them.
+UNWANTED = ["casino", "poker", "jackpot", "slots", "betting", "viagra", "cheap-pills", "porn", "xxx-videos", "escort", "hot-singles", "warez", "keygen",
+            "cracked", "torrent", "payday-loans", "quick-cash", "replica-watches", "miracle-diet", "phishing", "malware", "adclick", "backlinks", "spam"]
+WANTED = ["wiki", "docs", "library", "university", "museum", "news", "science", "history", "recipes", "weather", "travel", "research", "school", "forum",
+          "blog", "project", "journal", "gardening", "music", "mathematics", "health", "archive", "books", "shop"]
+_HOSTS, _PATHS = ["{}.example", "www.{}.example", "{}-online.example", "my{}.example"], ["/", "/{}", "/{}/index.html", "/en/{}", "/2019/{}", "/{}?id=7"]
+
+
+def labelled_urls() -> list[tuple[str, int]]:
+    """URLs with label 1 (unwanted) or 0: each word with its neighbours in the list, in hosts and paths."""
+    out = []
+    for label, words in ((1, UNWANTED), (0, WANTED)):
+        for i, word in enumerate(words):
+            for j, host in enumerate(_HOSTS):
+                for n in (1, 5):
+                    path = _PATHS[(i + j + n) % len(_PATHS)].format(words[(i + n * (j + 1)) % len(words)])
+                    out.append((f"http://{host.format(word)}{path}", label))
+    return out
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -56,62 +50,107 @@ def host_path(url: Column) -> tuple[Column, Column]:
     return F.translate(F.regexp_extract(known, part, 1), upper, upper.lower()), F.regexp_extract(known, part, 2)
 
 
-def buckets(host: str, path: str, bits: int = BITS) -> np.ndarray:
-    """The distinct buckets of the character n-grams of host and path."""
-    found = set()
-    for seed, text in ((0, f"^{host}$"), (0x5BD1E995, f"^{path}$")):
-        data = text.encode("utf-8", "surrogatepass")
-        for k in GRAMS:
-            found.update(zlib.crc32(data[i : i + k], seed + k) >> (32 - bits) for i in range(len(data) - k + 1))
-    return np.fromiter(found, np.int64, len(found))
-
-
-def train(labelled: list[tuple[str, int]], bits: int = BITS, epochs: int = 200, rate: float = 0.5, l2: float = 1e-3) -> np.ndarray:
-    """Weights (the bias last) by full gradient descent; features of a URL are scaled to unit length."""
-    w = np.zeros((1 << bits) + 1)
-    rows = [(buckets(*_split(u), bits), y) for u, y in labelled]
+def grams(texts: Sequence[bytes], seed: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers and buckets of the n-grams of all texts, each taken with ^ before and $ behind, with repeats."""
+    data = np.frombuffer(b"".join(b"^%s$" % t for t in texts), np.uint8).astype(U64)
+    size = np.array([len(t) + 2 for t in texts], np.int64)
+    row, end = np.repeat(np.arange(len(texts)), size), np.repeat(np.cumsum(size), size)
+    rows, found = [], []
+    for k in GRAMS:
+        n = max(0, len(data) - k + 1)
+        h = np.full(n, seed * 0x9E3779B97F4A7C15 + k & 0xFFFFFFFFFFFFFFFF, U64)
+        for i in range(k):
+            h += data[i : n + i] + U64(1)
+            mix64(h)
+        inside = np.arange(n) + k <= end[:n]
+        rows.append(row[:n][inside])
+        found.append((h >> U64(64 - bits))[inside].astype(np.int64))
+    return np.concatenate(rows), np.concatenate(found)
+
+
+def features(hosts: Sequence[str], paths: Sequence[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers and distinct buckets of the n-grams of hosts and paths."""
+    parts = [grams([t.encode("utf-8", "surrogatepass") for t in texts], seed, bits) for seed, texts in enumerate((hosts, paths))]
+    key = np.unique(np.concatenate([r << bits | b for r, b in parts]))
+    return key >> bits, key & ((1 << bits) - 1)
+
+
+def scores(weights: np.ndarray, hosts: Sequence[str], paths: Sequence[str], bits: int) -> np.ndarray:
+    """Probabilities of label 1; a URL's features are scaled to unit length."""
+    rows, found = features(hosts, paths, bits)
+    sums, count = (np.bincount(rows, weights=w, minlength=len(hosts)) for w in (weights[found], np.ones(len(found))))
+    return 1 / (1 + np.exp(-np.clip(sums / np.sqrt(np.maximum(count, 1)) + weights[-1], -35, 35)))
+
+
+def train(hosts: Sequence[str], paths: Sequence[str], labels: Sequence[int], bits: int = BITS, epochs: int = 300, rate: float = 8.0,
+          l2: float = 1e-3, bias: float = BIAS) -> np.ndarray:
+    """Weights (the bias last) by full gradient descent.  The bias is given: a URL of unknown n-grams is let through."""
+    w, y = np.zeros((1 << bits) + 1), np.asarray(labels, float)
+    w[-1] = bias
+    if not len(y):
+        return w
+    rows, found = features(hosts, paths, bits)
+    scale = 1 / np.sqrt(np.maximum(np.bincount(rows, minlength=len(y)), 1))
     for _ in range(epochs):
-        step = -l2 * w
-        for at, y in rows:
-            scale = 1 / max(1, len(at)) ** 0.5
-            g = (y - 1 / (1 + np.exp(-(w[at].sum() * scale + w[-1])))) / len(rows)
-            step[at] += g * scale
-            step[-1] += g
-        w += rate * step * 10
+        margin = np.bincount(rows, weights=w[found], minlength=len(y)) * scale + w[-1]
+        g = (y - 1 / (1 + np.exp(-margin))) / len(y)
+        step = np.bincount(found, weights=(g * scale)[rows], minlength=len(w)) - l2 * w / len(y)
+        w[:-1] += rate * step[:-1]
     return w
 
 
-def verdicts(pages: DataFrame, rules: list[tuple[str, str]], labelled: list[tuple[str, int]] | None = None,
-             least: float = 0.5, bits: int = BITS) -> DataFrame:
+class Rules:
+    """(verdict, host and path such as "example.com/en/"): a rule fits its host and all subdomains if the path starts
+    with the rule's; the longest that fits decides, the later of two equally long ones."""
+
+    def __init__(self, rules: Sequence[tuple[str, str]]):
+        self.by_host: dict[str, list[tuple[int, int, str, str, str]]] = {}
+        for n, (say, text) in enumerate(rules):
+            host, _, path = text.partition("/")
+            self.by_host.setdefault(host, []).append((len(text), n, "/" + path, text, say))
+
+    def __call__(self, host: str, path: str) -> tuple[str | None, str | None]:
+        best, at = None, 0
+        while at >= 0:
+            for rule in self.by_host.get(host[at:], ()):
+                if path.startswith(rule[2]) and (best is None or rule > best):
+                    best = rule
+            at = host.find(".", at) + 1 or -1
+        return (None, None) if best is None else best[3:]
+
+
+def verdicts(pages: DataFrame, rules: Sequence[tuple[str, str]], labelled: DataFrame | None = None, least: float = 0.5, bits: int = BITS,
+             sample: int = SAMPLE) -> DataFrame:
     """page_id, host, path, rule, verdict and score of each row of `pages` (page_id, url; others are ignored).
 
-    `rules` are (verdict, host and path such as "example.com/en/"): a rule fits its host and all subdomains
-    if the URL's path starts with the rule's path; the longest that fits decides, else the model does (block
-    from a score of `least` on).  Null, empty and malformed URLs have an empty host and path, fit no rule and
-    are judged by the model; repeated rows are judged alike; an empty table gives an empty result.
+    `labelled` has url and label (1: unwanted; rows with other labels than 0 and 1 and null urls are left out); at most
+    `sample` rows of it are taken, in the order of a hash of url.  The longest rule that fits decides (see `Rules`),
+    else the model does: block from a score of `least` on.  Null, empty and malformed URLs have an empty host and path,
+    fit no rule and are judged by the model; very long URLs are judged whole; repeated rows are judged alike; an empty
+    table gives an empty result, and without labelled URLs all scores are that of BIAS.
     """
     spark = pages.sparkSession
     ship(spark)
-    sent = spark.sparkContext.broadcast(train(LABELLED if labelled is None else labelled, bits))
-
-    @F.arrow_udf("double")
-    def score(host: pa.Array, path: pa.Array) -> pa.Array:
-        w, out = sent.value, []
-        for h, p in zip(host.to_pylist(), path.to_pylist(), strict=True):
-            at = buckets(h, p, bits)
-            out.append(float(1 / (1 + np.exp(-(w[at].sum() / max(1, len(at)) ** 0.5 + w[-1])))))
-        return pa.array(out, pa.float64())
-
+    if labelled is None:
+        labelled = spark.createDataFrame(labelled_urls(), "url string, label int")
     host, path = host_path(F.col("url"))
-    found = pages.select("page_id", host.alias("host"), path.alias("path"))
-    rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for say, text in sorted(rules, key=lambda r: len(r[1])):
-        h, p = text.split("/", 1)
-        fits = ((F.col("host") == h) | F.col("host").endswith(f".{h}")) & F.col("path").startswith(f"/{p}")
-        rule, verdict = F.when(fits, F.lit(text)).otherwise(rule), F.when(fits, F.lit(say)).otherwise(verdict)
-    out = found.select("*", rule.alias("rule"), verdict.alias("ruled"), score("host", "path").alias("score"))
-    model = F.when(F.col("score") >= least, "block").otherwise("allow")
-    return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", model).alias("verdict"), "score")
+    known = labelled.where("url is not null and label in (0, 1)").select("url", "label").distinct().orderBy(F.xxhash64("url"), "url", "label")
+    taken = known.limit(sample).select(host, path, "label").collect()
+    sent = spark.sparkContext.broadcast((train(*(zip(*taken, strict=True) if taken else ([], [], [])), bits), Rules(rules)))
+
+    @F.arrow_udf("struct<rule: string, ruled: string, score: double>")
+    def judge(hosts: pa.Array, paths: pa.Array) -> pa.Array:
+        weights, fits = sent.value
+        h, p = hosts.to_pylist(), paths.to_pylist()
+        found = [fits(a, b) for a, b in zip(h, p, strict=True)]
+        score = [scores(weights, h[a : a + 2048], p[a : a + 2048], bits) for a in range(0, len(h), 2048)]
+        return pa.StructArray.from_arrays(
+            [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.string()),
+             pa.array(np.concatenate(score) if score else [], pa.float64())], ["rule", "ruled", "score"])
+
+    out = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("j", judge("host", "path"))
+    model = F.when(F.col("j.score") >= least, "block").otherwise("allow")
+    return out.select("page_id", "host", "path", "j.rule", F.coalesce("j.ruled", model).alias("verdict"), "j.score")
 
 
 #: The rules of the registered query.

@@ -70,7 +70,6 @@ def test_token_files_and_bpe(docs):
 
     df, texts = docs
     t = Tokenizer.from_file(bpe.tokenizer_path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     got = {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in tokenids.token_files(df, bpe.tokenizer_path("byte_bpe_50k.json")).collect()}
     at, want = 0, {}
     for i in sorted(texts):
@@ -234,11 +233,36 @@ def test_warc(spark):
     assert {i: (r["record_type"], r["refers_to"]) for i, r in got.items()} == {
         1: ("revisit", 2), 2: ("response", None), 3: ("revisit", 4), 4: ("response", None), 5: ("response", None)}
     assert all(r["payload_digest"] == warc.base32_sha1((h or "").encode()) for i, _, h in rows for r in [got[i]])
-    image = warc.arc_start("f.arc", "20010203", 1) + warc.arc_record({"URL": "http://x/a b", "Archive-date": "20010203040506"}, b"HTTP/1.0 200 OK\n\nhi")
-    found = list(warc.parse_warc(warc.convert_arc(image)))
-    assert [h["WARC-Type"] for h, _ in found] == ["warcinfo", "response"] and found[1][0]["WARC-Date"] == "2001-02-03T04:05:06Z"
+
+
+def test_arc_files(spark, tmp_path):
+    """ARC files of both versions, plain, gzipped whole and by record, with payloads that are no text."""
+    import gzip
+
+    body = b"HTTP/1.0 200 OK\nA: b\n\n" + bytes(range(256)) + b"\r\n\r\nWARC/1.1\r\n"
+    records = [({"URL": "http://x/a b", "IP-address": "10.0.0.1", "Archive-date": "20010203040506"}, body),
+               ({"URL": "dns:x", "Archive-date": "2001", "Content-type": "text/dns"}, b"1 2"), ({"URL": "http://y/", "Archive-date": "20010203"}, body)]
+    for version, name in ((1, "plain.arc"), (2, "whole.arc.gz"), (1, "members.arc.gz")):
+        parts = [warc.arc_start(name, "20010203", version), *(warc.arc_record(f, b, version) for f, b in records)]
+        image = b"".join(parts) if name == "plain.arc" else gzip.compress(b"".join(parts)) if name == "whole.arc.gz" else b"".join(map(gzip.compress, parts))
+        folder = tmp_path / name
+        folder.mkdir()
+        (folder / name).write_bytes(image)
+        found = warc.read_arc(spark, f"file://{folder}").collect()
+        assert [r["url"] for r in found] == [f"filedesc://{name}", "http://x/a b", "dns:x", "http://y/"]
+        assert bytes(found[1]["block"]) == body and found[1]["digest"] == found[3]["digest"] == warc.base32_sha1(body.split(b"\n\n", 1)[1])
+        warc.convert_arcs(spark, f"file://{folder}", f"file://{tmp_path}/out-{name}")
+        got = {r["uri"]: r for r in warc.read_warc(spark, f"file://{tmp_path}/out-{name}").collect()}
+        assert sorted(r["record_type"] for r in got.values()) == ["resource", "response", "revisit", "warcinfo"]
+        a, b = sorted((got["http://x/a b"], got["http://y/"]), key=lambda r: r["record_type"])
+        assert b["refers_to_id"] == a["record_id"] and bytes(a["block"]) == body and bytes(b["block"]) == body.split(b"\n\n", 1)[0] + b"\n\n"
+        assert got["http://x/a b"]["date"] == "2001-02-03T04:05:06Z" and got["dns:x"]["date"] == "2001-01-01T00:00:00Z"
+        members = [p.read_bytes() for p in (tmp_path / f"out-{name}").glob("part-*")]
+        assert sum(gzip.decompress(m).count(b"WARC/1.1\r\nWARC-Type") for m in members) == 4  # any gzip reader takes them
+    with pytest.raises(warc.ArcError):
+        list(warc.parse_arc(b"".join(parts)[:-4]))
     with pytest.raises(warc.ArcError):
-        list(warc.parse_arc(image[:-4]))
+        list(warc.parse_arc(gzip.compress(b"".join(parts))[:-20]))
 
 
 def test_chats(spark):
