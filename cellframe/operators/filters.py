@@ -33,7 +33,9 @@ def equal_to(columns: Sequence[str], values: Sequence) -> Column:
 
 
 def query(spark: SparkSession, text: str, tables: Sequence[DataFrame] = ()) -> DataFrame:
-    """A whole query over tables named $1, $2, ...; SELECT UNIQUE is SELECT DISTINCT."""
+    """A whole query over tables named $1, $2, ...; SELECT UNIQUE is SELECT DISTINCT, and [SELECT col FROM $n][key] is the
+    column's value in the row whose ROWID is the key."""
+    text = re.sub(r"\[\s*SELECT\s+(\w+)\s+FROM\s+\$(\d+)\s*\]\[\s*(\w+)\s*\]", r"(SELECT max(__s.\1) FROM $\2 __s WHERE __s.ROWID = \3)", text, flags=re.I)
     text = re.sub(r"\bSELECT\s+UNIQUE\b", "SELECT DISTINCT", translate(text), flags=re.I)
     return spark.sql(re.sub(r"\$(\d+)", r"{t\1}", text), **{f"t{i}": t for i, t in enumerate(tables, 1)})
 

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .filters import equal_to
-from .ordering import ROWID
+from .ordering import ROWID, chunked, group_chunks, numbered, positions
 
 ROW = "__row__"
 
@@ -16,7 +15,7 @@ ROW = "__row__"
 def group_list(df: DataFrame, group_cols: Sequence[str], rowid: str = ROWID) -> DataFrame:
     """One row a group: keys, n_rows, first_row and group_id (0, 1, ... by first row)."""
     found = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("n_rows"), F.min(rowid).alias("first_row"))
-    return found.withColumn("group_id", F.row_number().over(Window.orderBy("first_row")) - 1)
+    return numbered(found, ["first_row"], "group_id")
 
 
 def gathered(df: DataFrame, group_cols: Sequence[str], index_cols: Sequence[str], rowid: str = ROWID) -> DataFrame:
@@ -31,13 +30,83 @@ def dense_ids(df: DataFrame, key: str, rowid: str = ROWID, start: int = 0) -> Da
     return group_list(df, [key], rowid).select(key, (F.col("group_id") + start).alias("id"))
 
 
+class Variable:
+    """A named column's dims (the first is the row), expression and attributes, over a partition's rows."""
+
+    def __init__(self, dims: Sequence[str], data, attrs: dict | None = None, encoding: dict | None = None, fastpath: bool = False):
+        self.dims, self.data, self.attrs, self.encoding = tuple([dims] if isinstance(dims, str) else dims), data, dict(attrs or {}), dict(encoding or {})
+        self.part: Partition | None = None
+
+    @property
+    def dtype(self):
+        return self.part.df.select(self.data).schema[0].dataType
+
+    @property
+    def ndim(self) -> int:
+        return len(self.dims)
+
+    @property
+    def values(self) -> list:
+        """All cells, on the driver."""
+        return [r[0] for r in self.part.df.select(self.data).collect()]
+
+    @property
+    def chunks(self):
+        return tuple(self.part.chunks.get(d) for d in self.dims) if self.part.chunks else None
+
+    @property
+    def shape(self) -> tuple:
+        """Rows, and the extents behind them where all cells have the same (else None)."""
+        cell, out = self.part.df.select(self.data.alias("c")), [F.count(F.lit(1))]
+        at = F.col("c")
+        for _ in self.dims[1:]:
+            out += [F.when(F.min(F.size(at)) == F.max(F.size(at)), F.min(F.size(at)))]
+            at = F.get(at, F.lit(0))
+        return tuple(cell.agg(*out).first())
+
+
+def variable(args) -> Variable:
+    """A Variable from itself or from a tuple (dims, data[, attrs[, encoding[, fastpath]]])."""
+    if isinstance(args, Variable):
+        return args
+    if not isinstance(args, tuple):
+        raise TypeError(f"a variable is a tuple, not {type(args).__name__}")
+    if not 2 <= len(args) <= 5:
+        raise TypeError("a variable is a tuple of 2 to 5: (dims, data[, attrs[, encoding[, fastpath]]])")
+    return Variable(*args)
+
+
 class Partition:
     """One group: its rows, its key values as attributes, and payload columns without them."""
 
-    def __init__(self, df: DataFrame, attrs: dict, coords: Sequence[str] = (ROWID,)):
-        self.df, self.attrs = df, dict(attrs)
+    def __init__(self, df: DataFrame, attrs: dict, coords: Sequence[str] = (ROWID,), chunks: dict | None = None, dims: dict | None = None):
+        self.df, self.attrs, self.chunks, self.dims = df, dict(attrs), dict(chunks or {}), dict(dims or {})
         self.coords = [c for c in coords if c in df.columns]
 
+    def _with(self, df: DataFrame | None = None, **more) -> Partition:
+        kept = {"attrs": self.attrs, "coords": self.coords, "chunks": self.chunks, "dims": self.dims} | more
+        return Partition(self.df if df is None else df, **kept)
+
+    def variable(self, name: str) -> Variable:
+        """A column as a Variable: its dims as they were assigned, else row and NAME-1, NAME-2, ..."""
+        kind, n = self.df.schema[name].dataType, 0
+        while kind.typeName() == "array":
+            kind, n = kind.elementType, n + 1
+        out = Variable(self.dims.get(name, ("row", *[f"{name}-{i + 1}" for i in range(n)])), F.col(name))
+        out.part = self
+        return out
+
+    def chunked(self, index_cols: Sequence[str] = (), rowid: str = ROWID) -> DataFrame:
+        """The rows with the number of the row chunk that each is in, by `chunks`."""
+        ends, total = [], 0
+        for n in self.chunks["row"]:
+            total += n
+            ends.append(total)
+        if len(set(self.chunks["row"][:-1])) <= 1 and ends:
+            return chunked(self.df, self.chunks["row"][0], index_cols, rowid=rowid)
+        at = positions(self.df, index_cols, rowid=rowid)
+        return at.withColumn("chunk", F.size(F.filter(F.array(*[F.lit(e) for e in ends]), lambda e: e <= F.col("position"))).cast("long"))
+
     @property
     def data_vars(self) -> list[str]:
         return [c for c in self.df.columns if c not in self.coords]
@@ -56,15 +125,16 @@ class Partition:
             raise AttributeError(name) from None
 
     def assign(self, **columns) -> Partition:
-        made = {k: v if hasattr(v, "alias") else F.lit(v) for k, v in columns.items()}
-        return Partition(self.df.withColumns(made), self.attrs, self.coords)
+        given = {k: variable(v) if isinstance(v, tuple | Variable) else v for k, v in columns.items()}
+        dims = self.dims | {k: v.dims for k, v in given.items() if isinstance(v, Variable)}
+        plain = {k: v.data if isinstance(v, Variable) else v for k, v in given.items()}
+        return self._with(self.df.withColumns({k: v if hasattr(v, "alias") else F.lit(v) for k, v in plain.items()}), dims=dims)
 
     def assign_coords(self, **columns) -> Partition:
-        made = self.df.drop(*self.coords).withColumns(columns)
-        return Partition(made, self.attrs, list(columns))
+        return self._with(self.df.drop(*self.coords).withColumns(columns), coords=list(columns))
 
     def assign_attrs(self, **attrs) -> Partition:
-        return Partition(self.df, self.attrs | attrs, self.coords)
+        return self._with(attrs=self.attrs | attrs)
 
     def drop_vars(self, names: str | Sequence[str], errors: str = "raise") -> Partition:
         names = [names] if isinstance(names, str) else list(names)
@@ -73,17 +143,17 @@ class Partition:
         missing = [n for n in names if n not in self.df.columns]
         if missing and errors == "raise":
             raise ValueError(f"{', '.join(missing)} cannot be found")
-        return Partition(self.df.drop(*names), self.attrs, self.coords)
+        return self._with(self.df.drop(*names))
 
     def rename(self, names: dict[str, str]) -> Partition:
-        return Partition(self.df.withColumnsRenamed(names), self.attrs, [names.get(c, c) for c in self.coords])
+        return self._with(self.df.withColumnsRenamed(names), coords=[names.get(c, c) for c in self.coords])
 
     def with_constants(self) -> DataFrame:
         """The rows with the attributes of the key as full columns again."""
         return self.df.withColumns({k: F.lit(v) for k, v in self.attrs.items() if not k.startswith("__")})
 
     def persist(self) -> Partition:
-        return Partition(self.df.persist(), self.attrs, self.coords)
+        return self._with(self.df.persist())
 
     def compute(self):
         return self.df.toPandas()
@@ -94,25 +164,46 @@ class Partition:
         return same and mine.exceptAll(other.df.select(*mine.columns)).isEmpty() and other.df.select(*mine.columns).exceptAll(mine).isEmpty()
 
 
-def partitions(df: DataFrame, group_cols: Sequence[str], index_cols: Sequence[str] = (), rowid: str = ROWID) -> list[Partition]:
+#: The most groups or rows that the list view shows.
+MOST = 10_000
+
+
+def _listed(df: DataFrame, most: int) -> list:
+    found = df.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"there are more than {most} groups: work on the DataFrame, grouped by its keys, instead of a list")
+    return found
+
+
+def keyed(group_cols: Sequence[str], row) -> Column:
+    """The condition for a group's rows; null keys are equal."""
+    out = F.lit(True)
+    for c in group_cols:
+        out = out & F.col(c).eqNullSafe(F.lit(row[c]))
+    return out
+
+
+def partitions(df: DataFrame, group_cols: Sequence[str], index_cols: Sequence[str] = (), rowid: str = ROWID, chunks: None | dict | Sequence[dict] = None,
+               most: int = MOST) -> list[Partition]:
     """The list view: one Partition a group (or a row, for ["__row__"]), lazily filtered from one DataFrame.
 
-    Only keys come to the driver; work on the DataFrame itself where there are many groups."""
+    Keys and counts of `most` groups at most come to the driver; more are refused.  `chunks` has the chunk sizes of
+    each group ({"row": ...} and other dimensions), the last for all further groups."""
+    specs = [chunks] if isinstance(chunks, dict) else list(chunks or [])
+    sizes = lambda i, n: specs[min(i, len(specs) - 1)] | {"row": group_chunks(specs, [0] * i + [n])[i]} if specs else {}
     if ROW in group_cols:
         if list(group_cols) != [ROW]:
             raise ValueError(f"{ROW} stands alone")
-        group_cols = [rowid]
-        ids = [r[0] for r in df.orderBy(*index_cols, rowid).select(rowid).collect()]
-        return [Partition(df.where(F.col(rowid) == i), {ROW: i}) for i in ids]
+        ids = [r[0] for r in _listed(df.orderBy(*index_cols, rowid).select(rowid), most)]
+        return [Partition(df.where(F.col(rowid) == i), {ROW: i}, chunks={"row": (1,)} if specs else None) for i in ids]
     if not group_cols:
-        return [Partition(df.orderBy(*index_cols, rowid), {})]
+        return [Partition(df.orderBy(*index_cols, rowid), {}, chunks=sizes(0, df.count()) if specs else None)]
     out = []
-    for row in group_list(df, group_cols, rowid).orderBy("first_row").collect():
-        keys = {c: row[c] for c in group_cols}
-        same = equal_to(list(keys), list(keys.values())) if None not in keys.values() else F.expr(
-            " and ".join(f"`{c}` <=> {'null' if v is None else repr(v)}" for c, v in keys.items()))
-        attrs = keys | {"__partition_schema__": tuple((c, df.schema[c].dataType.simpleString()) for c in group_cols)}
-        out.append(Partition(df.where(same).orderBy(*index_cols, rowid).drop(*group_cols), attrs))
+    found = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("n_rows"), F.min(rowid).alias("first_row"))
+    for n, row in enumerate(sorted(_listed(found, most), key=lambda r: r["first_row"])):
+        attrs = {c: row[c] for c in group_cols}
+        attrs["__partition_schema__"] = tuple((c, df.schema[c].dataType.simpleString()) for c in group_cols)
+        out.append(Partition(df.where(keyed(group_cols, row)).orderBy(*index_cols, rowid).drop(*group_cols), attrs, chunks=sizes(n, row["n_rows"])))
     return out
 
 

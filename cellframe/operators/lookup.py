@@ -25,13 +25,14 @@ def chain(main: DataFrame, *steps: tuple[DataFrame, str, Sequence[str], str]) ->
     return main
 
 
-def attach(main: DataFrame, sub: DataFrame, column: Column, order: str, name: str, most: int = 100_000) -> DataFrame:
-    """`main` with one whole sub-table column as an array in every row; a sub-table of more than `most` rows is
-    refused, since the array is repeated."""
+def attach(main: DataFrame, sub: DataFrame, column: Column, order: str, name: str, most: int = 8 << 20) -> DataFrame:
+    """`main` with one whole sub-table column as an array in every row; a column of more than `most` bytes (as text)
+    is refused, since the array is repeated.  The one row that holds it is all that is broadcast."""
+    size = sub.agg(F.sum(F.octet_length(F.to_json(F.struct(column.alias("v")))))).first()[0] or 0
+    if size > most:
+        raise ValueError(f"a column of more than {most} bytes is joined by position instead")
     cell = sub.agg(F.array_sort(F.collect_list(F.struct(F.col(order), column.alias("v")))).getField("v").alias(name))
-    if sub.limit(most + 1).count() > most:
-        raise ValueError(f"a sub-table of more than {most} rows is joined by position instead")
-    return main.crossJoin(F.broadcast(cell))
+    return main.crossJoin(cell)
 
 
 def index_of(keys: DataFrame, table: DataFrame, key: str, index: str, default: int = -1) -> DataFrame:

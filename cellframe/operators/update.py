@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .lookup import overlay
-from .ordering import ROWID, positions
+from .ordering import ROWID, positions, stored_order
 
 
 class DuplicateRows(ValueError):
@@ -23,28 +23,38 @@ def update(base: DataFrame, changes: DataFrame, columns: Sequence[str] | None =
     return overlay([base, changes.select(rowid, *columns)], [rowid])
 
 
+class BrokenRows(ValueError):
+    """A table whose ROWIDs are not 0, 1, ... and that no rows can be appended to."""
+
+
 def append(base: DataFrame, rows: Sequence[DataFrame] | DataFrame, order: Sequence[str] = (), rowid: str = ROWID) -> DataFrame:
-    """Rows without ROWID are numbered on from the table's last; several tables follow each other in order."""
+    """Rows without ROWID are numbered on from the table's last; several tables follow each other in order, and the
+    rows of each stand as they are stored, or in the order of columns that are unique together.
+
+    The table's ROWIDs have to be 0 to count - 1, so that each table begins at the row that is the count so far."""
     rows = [rows] if isinstance(rows, DataFrame) else list(rows)
-    start = (base.agg(F.max(rowid)).first()[0] if rowid in base.columns else None)
-    start, out = (-1 if start is None else start) + 1, base
+    start, last = base.agg(F.count(F.lit(1)), F.max(rowid)).first() if rowid in base.columns else (0, None)
+    if start and last != start - 1:
+        raise BrokenRows(f"the table has {start} rows and ends with {rowid} {last}")
+    out = base
     for i, df in enumerate(rows):
-        if rowid in df.columns:
-            df = df.drop(rowid)
-        keys = list(order) or sorted(c for c, t in df.dtypes if not t.startswith("map"))
-        numbered = positions(df.withColumn("__tie", F.xxhash64(*keys)), [*keys], rowid="__tie").drop("__tie")
+        df = df.drop(rowid)
+        if order:
+            numbered = positions(df.withColumn("__tie", F.struct(*order)), (), rowid="__tie").drop("__tie")
+        else:
+            numbered = stored_order(df, "position")
         out = out.unionByName(numbered.withColumn(rowid, F.col("position") + start).drop("position"), allowMissingColumns=True)
         start += df.count() if i < len(rows) - 1 else 0
     return out
 
 
-def mixed(base: DataFrame, changes: Sequence[DataFrame], rowid: str = ROWID) -> DataFrame:
+def mixed(base: DataFrame, changes: Sequence[DataFrame], rowid: str = ROWID, order: Sequence[str] = ()) -> DataFrame:
     """Updates (tables with ROWID) first, then appends (tables without), whatever their order in the list."""
     for df in changes:
         if rowid in df.columns:
             base = update(base, df, rowid=rowid)
     news = [df for df in changes if rowid not in df.columns]
-    return append(base, news, rowid=rowid) if news else base
+    return append(base, news, order, rowid) if news else base
 
 
 def add_columns(base: DataFrame, new: DataFrame, rowid: str = ROWID) -> DataFrame:

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import tensors
 from ..functions.expressions import column_expression
 from ..functions.literals import natural_order
 from ..operators import cube, filters, groups, lookup, ordering, update
-from .unify import describe
+from .descriptors import infer_column, with_shapes
+from .unify import unify
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -31,15 +32,6 @@ def _t(spark: SparkSession, d: str, table: str, rowid: str | None = None) -> Dat
     return df.withColumn("ROWID", F.col(rowid).cast("bigint")) if rowid else df
 
 
-def _known(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.select(*[c for c in columns if c in df.columns])
-
-
-@query("select o_orderkey, o_totalprice from orders")
-def scan_select(spark, d):
-    return _known(_t(spark, d, "orders"), ["o_orderkey", "o_totalprice", "no_such_column"])
-
-
 _WHERE = "o_orderstatus == 'O' || o_totalprice > 150000 && o_orderpriority != '1-URGENT'"
 
 
@@ -77,18 +69,6 @@ def group_sorted_rows(spark, d):
     return df.select("o_custkey", "o_orderkey", F.col("position").cast("bigint").alias("position"))
 
 
-@query("select event_type, min(event_id) as first_row, count(*) as n_rows, string_agg(user_id, ',' order by ts, event_id) as users from events group by event_type")
-def group_gather(spark, d):
-    df = _t(spark, d, "events", "event_id")
-    order = F.array_sort(F.collect_list(F.struct("ts", "ROWID", F.col("user_id").cast("string").alias("u"))))
-    return df.groupBy("event_type").agg(F.min("ROWID").alias("first_row"), F.count(F.lit(1)).alias("n_rows"), F.array_join(order["u"], ",").alias("users"))
-
-
-@query("select o_orderkey as row_group, o_custkey, o_totalprice from orders where o_totalprice > 1000")
-def row_groups(spark, d):
-    return filters.where(_t(spark, d, "orders", "o_orderkey"), "o_totalprice > 1000").select(F.col("ROWID").alias("row_group"), "o_custkey", "o_totalprice")
-
-
 @query("select chunk, count(*) as n_rows, min(event_id) as first_row from (select event_id, (row_number() over (order by event_id) - 1) // 700 as chunk from events) group by chunk")
 def row_chunks(spark, d):
     df = ordering.chunked(_t(spark, d, "events", "event_id"), 700)
@@ -101,18 +81,10 @@ def row_runs(spark, d):
     return ordering.row_runs(_t(spark, d, "events", "event_id").where("value > 30"), block=1000)
 
 
-@query("""with l as (select l as id, l * 300 as s, l * 300 + 300 as e from generate_series(0, 39) t(l)),
- r as (select r as id, r * 470 as s, r * 470 + 470 as e from generate_series(0, 24) t(r))
-select l.id as l_id, r.id as r_id, greatest(l.s, r.s) - r.s as "start", least(l.e, r.e) - r.s as "end" from l, r where greatest(l.s, r.s) < least(l.e, r.e)""")
-def interval_overlap(spark, d):
-    made = lambda n, w: spark.range(n).select("id", (F.col("id") * w).alias("start"), (F.col("id") * w + w).alias("end"))
-    return ordering.interval_overlap(made(40, 300), made(25, 470), 512)
-
-
 @query("""with l as (select event_id as id, event_id * 300 as s, event_id * 300 + 200 + user_id % 200 as e from events),
  r as (select o_orderkey as id, o_orderkey * 200 as s, o_orderkey * 200 + 100 + o_custkey % 300 as e from orders)
 select l.id as l_id, r.id as r_id, greatest(l.s, r.s) - r.s as "start", least(l.e, r.e) - r.s as "end" from l join r on l.s < r.e and r.s < l.e""")
-def interval_overlap_all(spark, d):
+def interval_overlap(spark, d):
     made = lambda t, k, w, n: _t(spark, d, t).select(F.col(k).alias("id"), (F.col(k) * w).alias("start"), (F.col(k) * w + n).alias("end"))
     events, orders = made("events", "event_id", 300, 200 + F.col("user_id") % 200), made("orders", "o_orderkey", 200, 100 + F.col("o_custkey") % 300)
     return ordering.interval_overlap(events, orders, 512)
@@ -138,12 +110,6 @@ def broadcast_attach(spark, d):
     return df.select("n_nationkey", F.array_join("regions", ",").alias("regions"))
 
 
-@query("select s_suppkey, n_name as name from supplier join nation on s_nationkey = n_nationkey")
-def index_subquery(spark, d):
-    text = "SELECT s_suppkey, n.n_name AS name FROM $1 s JOIN $2 n ON s.s_nationkey == n.n_nationkey"
-    return filters.query(spark, text, [_t(spark, d, "supplier"), _t(spark, d, "nation")])
-
-
 @query("select distinct l_shipdate, l_returnflag from lineitem")
 def distinct_col(spark, d):
     return filters.query(spark, "SELECT UNIQUE l_shipdate, l_returnflag FROM $1", [_t(spark, d, "lineitem")])
@@ -198,33 +164,15 @@ def tensor_pow(spark, d):
     return out.select("vec_id", F.col("pos").cast("bigint").alias("pos"), F.round(F.col("s")["v"], 9).alias("v"), F.col("s")["flag"].alias("flag"))
 
 
-@query("""select vec_id, i as pos, round((embedding[2*i+1]::double + embedding[2*i+9]::double) / 2, 9) as v from embeddings, generate_series(0, 3) g(i)""")
-def tensor_axis_mean(spark, d):
-    first = tensors.slab(F.col("embedding").cast("array<double>"), [0], [15])
-    cell = tensors.axis_mean(tensors.shaped(first, (2, 8)))
-    even = tensors.gather(cell, F.array(*[F.lit(i) for i in (0, 2, 4, 6)]), F.lit(0.0))
-    return _t(spark, d, "embeddings").select("vec_id", F.posexplode(even).alias("pos", "v")).select("vec_id", F.col("pos").cast("bigint").alias("pos"), F.round("v", 9).alias("v"))
-
-
-@query("""select vec_id, i as pos, round(a * c - b * e, 9) as re, round(a * e + b * c, 9) as im from (select vec_id, i, embedding[2*i+1]::double as a, embedding[2*i+2]::double as b,
- embedding[2*i+17]::double as c, embedding[2*i+18]::double as e from embeddings, generate_series(0, 7) g(i))""")
-def complex_product(spark, d):
-    v = F.col("embedding").cast("array<double>")
-    made = lambda a: tensors.complex_of(tensors.shaped(tensors.slab(v, [a], [a + 15]), (8, 2)))
-    df = _t(spark, d, "embeddings").select("vec_id", made(0).alias("A"), made(16).alias("B"))
-    out = df.select("vec_id", F.posexplode(column_expression("A * B", df.schema)).alias("pos", "c"))
-    return out.select("vec_id", F.col("pos").cast("bigint").alias("pos"), F.round("c.re", 9).alias("re"), F.round("c.im", 9).alias("im"))
-
-
 @query("select vec_id, i as pos, round((select sum(embedding[8*r+i+1]::double) from generate_series(0, 7) h(r)) / 8, 9) as v from embeddings, generate_series(0, 7) g(i)")
-def tensor_axis_mean_all(spark, d):
+def tensor_axis_mean(spark, d):
     cell = tensors.axis_mean(tensors.shaped(F.col("embedding").cast("array<double>"), (8, 8)))
     return _t(spark, d, "embeddings").select("vec_id", F.posexplode(cell).alias("pos", "v")).select("vec_id", F.col("pos").cast("bigint").alias("pos"), F.round("v", 9).alias("v"))
 
 
 @query("""select vec_id, i as pos, round(a * c - b * e, 9) as re, round(a * e + b * c, 9) as im from (select vec_id, i, embedding[2*i+1]::double as a, embedding[2*i+2]::double as b,
  embedding[2*i+33]::double as c, embedding[2*i+34]::double as e from embeddings, generate_series(0, 15) g(i))""")
-def complex_product_all(spark, d):
+def complex_product(spark, d):
     v = F.col("embedding").cast("array<double>")
     made = lambda a: tensors.complex_of(tensors.shaped(tensors.slab(v, [a], [a + 31]), (16, 2)))
     df = _t(spark, d, "embeddings").select("vec_id", made(0).alias("A"), made(32).alias("B"))
@@ -238,23 +186,7 @@ def _changes(spark, d):
 
 @query("select o_orderkey, o_custkey, case when o_orderkey % 7 = 3 then o_totalprice * 2 else o_totalprice end as o_totalprice from orders")
 def update_rowid(spark, d):
-    return update.update(_t(spark, d, "orders", "o_orderkey"), _changes(spark, d), check=False).select("o_orderkey", "o_custkey", "o_totalprice")
-
-
-@query("""select o_orderkey as ROWID, o_totalprice from orders union all
- select (select count(*) from orders) + row_number() over (order by c_acctbal, c_custkey) - 1, c_acctbal from customer""")
-def append_rows(spark, d):
-    new = _t(spark, d, "customer").select(F.col("c_acctbal").alias("o_totalprice"), "c_custkey")
-    base = _t(spark, d, "orders", "o_orderkey").select("ROWID", "o_totalprice")
-    return update.append(base, new, ["o_totalprice", "c_custkey"]).select("ROWID", "o_totalprice")
-
-
-@query("""select o_orderkey as ROWID, case when o_orderkey % 7 = 3 then o_totalprice * 2 else o_totalprice end as o_totalprice from orders union all
- select (select count(*) from orders) + row_number() over (order by c_acctbal) - 1, c_acctbal from customer""")
-def mixed_update_append(spark, d):
-    new = _t(spark, d, "customer").select(F.col("c_acctbal").alias("o_totalprice"))
-    base = _t(spark, d, "orders", "o_orderkey").select("ROWID", "o_totalprice")
-    return update.append(update.update(base, _changes(spark, d), check=False), new, ["o_totalprice"]).select("ROWID", "o_totalprice")
+    return update.update(_t(spark, d, "orders", "o_orderkey"), _changes(spark, d)).select("o_orderkey", "o_custkey", "o_totalprice")
 
 
 @query("select o_orderkey as ROWID, o_custkey, case when o_orderkey % 2 = 0 then o_totalprice / 4 end as quarter from orders")
@@ -281,11 +213,10 @@ def parquet_roundtrip(spark, d):
     return back.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("o_totalprice"), 2).alias("total"), F.min("ROWID").alias("first_row"))
 
 
-def _scratch(spark: SparkSession) -> str:
-    """The shared folder of the session, or a temporary one where none is set (tests)."""
-    import tempfile
-
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="cellframe-")).rstrip("/")
+def _scratch(spark: SparkSession, name: str = "") -> str:
+    """A new path in the shared folder of the session."""
+    base = ordering.shared_folder(spark)
+    return f"{base}/{name}-{uuid.uuid4().hex[:12]}" if name else base
 
 
 @query("""select c_custkey, case when c_custkey % 3 = 0 then c_acctbal + 2 when c_custkey % 2 = 0 then c_acctbal + 1 else c_acctbal end as c_acctbal,
@@ -297,30 +228,10 @@ def overlay_fragments(spark, d):
     return lookup.overlay([base, one, two], ["c_custkey"])
 
 
-@query("""with recursive up as (select 'd' as child, 'c' as parent union all
- select u.parent, s.parent from up u join (values ('c', 'b'), ('b', 'a'), ('a', cast(null as varchar))) s(child, parent) on s.child = u.parent)
- select child from up""")
-def ancestry(spark, d):
-    return spark.sql("""with recursive links(child, parent) as (values ('d', 'c'), ('c', 'b'), ('b', 'a'), ('a', cast(null as string))),
-      up(child, parent) as (select child, parent from links where child = 'd'
-        union all select l.child, l.parent from up u join links l on l.child = u.parent) select child from up""")
-
-
-@query("""with a as (select s_suppkey as id from supplier where s_suppkey < 7),
- b as (select x.id as ANTENNA1, y.id as ANTENNA2, row_number() over (order by x.id, y.id) - 1 as BL from a x join a y on x.id < y.id),
- t as (select event_id as t, value from events where event_id < 50)
- select t * (select count(*) from b) + BL as ROWID, ANTENNA1, ANTENNA2, value from t, b""")
-def time_baseline_cross(spark, d):
-    ants = _t(spark, d, "supplier").where("s_suppkey < 7").select(F.col("s_suppkey").alias("id"))
-    pairs = cube.baselines(ants)
-    times = _t(spark, d, "events").where("event_id < 50").select(F.col("event_id").alias("t"), "value")
-    return cube.rows(times, pairs, 21).select("ROWID", "ANTENNA1", "ANTENNA2", "value")
-
-
 @query("""with b as (select x.r_regionkey as ANTENNA1, y.r_regionkey as ANTENNA2, row_number() over (order by x.r_regionkey, y.r_regionkey) - 1 as BL
  from region x join region y on x.r_regionkey < y.r_regionkey)
  select event_id * (select count(*) from b) + BL as ROWID, ANTENNA1, ANTENNA2, value from events, b""")
-def time_baseline_all(spark, d):
+def time_baseline_cross(spark, d):
     pairs = cube.baselines(_t(spark, d, "region").select(F.col("r_regionkey").alias("id")))
     times = _t(spark, d, "events").select(F.col("event_id").alias("t"), "value")
     return cube.rows(times, pairs, pairs.count()).select("ROWID", "ANTENNA1", "ANTENNA2", "value")
@@ -331,26 +242,263 @@ def dense_ids(spark, d):
     return groups.dense_ids(_t(spark, d, "events", "event_id"), "event_type").select("event_type", F.col("id").cast("bigint").alias("id"))
 
 
+@query("""select o_orderkey as id, coalesce(case when o_orderkey % 5 <> 0 then o_orderkey * 2 end, -1) as idx from orders""")
+def index_default(spark, d):
+    keys = _t(spark, d, "orders").select(F.col("o_orderkey").alias("id"))
+    table = keys.where("id % 5 <> 0").withColumn("idx", F.col("id") * 2)
+    return lookup.index_of(keys, table, "id", "idx")
+
+
+@query("select event_id, epoch_us(ts) / 1e6 + 40587 * 86400.0 as mjd from events")
+def mjd_seconds(spark, d):
+    return _t(spark, d, "events").select("event_id", cube.mjd_seconds(F.col("ts").cast("timestamp")).alias("mjd"))
+
+
+@query("select o_orderkey, o_totalprice from orders")
+def scan_select(spark, d):
+    from ..sources.tables import pick
+
+    return pick(_t(spark, d, "orders", "o_orderkey"), ["o_orderkey", "o_totalprice", "no_such_column"]).drop("ROWID")
+
+
+@query("select o_orderkey from orders where o_orderstatus = 'O' and o_orderpriority = '5-LOW'")
+def equality_filter(spark, d):
+    df = _t(spark, d, "orders")
+    return df.where(filters.equal_to(["o_orderstatus", "o_orderpriority"], ["O", "5-LOW"])).select("o_orderkey")
+
+
+@query("select event_type, min(event_id) as first_row, count(*) as n_rows, string_agg(event_id, ',' order by ts, event_id) as rows from events group by event_type")
+def group_gather(spark, d):
+    out = groups.gathered(_t(spark, d, "events", "event_id"), ["event_type"], ["ts"])
+    return out.withColumn("rows", F.array_join(F.col("rows").cast("array<string>"), ","))
+
+
+@query("select n_nationkey, n_name from nation")
+def row_groups(spark, d):
+    parts = groups.partitions(_t(spark, d, "nation", "n_nationkey"), [groups.ROW])
+    return groups.concat(parts).select("n_nationkey", "n_name")
+
+
+@query("select s_suppkey, n_name as name from supplier join nation on s_nationkey = n_nationkey")
+def index_subquery(spark, d):
+    text = "SELECT s_suppkey, [SELECT n_name FROM $2][s_nationkey] AS name FROM $1"
+    return filters.query(spark, text, [_t(spark, d, "supplier"), _t(spark, d, "nation", "n_nationkey")])
+
+
 @query("select s_suppkey, row_number() over (order by s_suppkey % 13, s_suppkey) - 1 as position from supplier")
 def natural_order_names(spark, d):
     df = _t(spark, d, "supplier").withColumn("name", F.concat(F.lit("Part"), F.col("s_suppkey") % 13, F.lit("-"), "s_suppkey"))
-    return df.select("s_suppkey", (F.row_number().over(Window.orderBy(natural_order("name"))) - 1).cast("bigint").alias("position"))
+    out = ordering.positions(df.withColumn("key", natural_order("name")), ["key"], rowid="s_suppkey")
+    return out.select("s_suppkey", F.col("position").cast("bigint").alias("position"))
 
 
-@query("""select * from (values ('o_orderkey', 2, 1), ('o_totalprice', 2, 2), ('c_name', 1, 1)) t("column", n_tables, n_types)""")
+@query("""select * from (values (0, 'o_orderkey', 'bigint'), (1, 'o_totalprice', 'double'), (2, 'c_name', 'string')) t(place, "column", type)""")
 def schema_unify(spark, d):
     a = _t(spark, d, "orders").select("o_orderkey", "o_totalprice")
-    b = a.withColumn("o_totalprice", F.col("o_totalprice").cast("float")).withColumn("c_name", F.lit("x"))
-    return spark.createDataFrame(describe([a.schema, b.schema]), "column string, n_tables int, n_types int")
+    b = _t(spark, d, "orders").select("o_totalprice").withColumn("c_name", F.lit("x"))
+    found = unify([a.schema, b.schema])
+    return spark.createDataFrame([(i, f.name, f.dataType.simpleString()) for i, f in enumerate(found)], "place int, column string, type string")
 
 
-@query("""select o_orderkey as id, coalesce(case when o_orderkey % 5 <> 0 then o_orderkey * 2 end, -1) as idx from orders""")
-def index_default(spark, d):
-    keys = _t(spark, d, "orders").select(F.col("o_orderkey").alias("id"))
-    table = keys.where("id % 5 <> 0").withColumn("idx", F.col("id") * 2)
-    return lookup.index_of(keys, table, "id", "idx")
+@query("select 'embedding' as \"column\", 'FLOAT' as type, 1 as ndim, case when min(len(embedding)) = max(len(embedding)) then min(len(embedding)) end as extent from embeddings")
+def column_inference(spark, d):
+    found = infer_column("embedding", [with_shapes(_t(spark, d, "embeddings").select("embedding"))["embedding"]])
+    row = ("embedding", found["valueType"], found["ndim"], found["shape"][0] if "shape" in found else None)
+    return spark.createDataFrame([row], "column string, type string, ndim int, extent long")
 
 
-@query("select event_id, epoch_us(ts) / 1e6 + 40587 * 86400.0 as mjd from events")
-def mjd_seconds(spark, d):
-    return _t(spark, d, "events").select("event_id", cube.mjd_seconds(F.col("ts").cast("timestamp")).alias("mjd"))
+@query("select * from (values ('a', 0), ('b', 1), ('c', 2), ('d', 3)) t(name, depth)")
+def ancestry(spark, d):
+    from ..sources import fragments, parquet
+
+    base = _scratch(spark, "ancestry")
+    parts = groups.partitions(_t(spark, d, "region", "r_regionkey"), [])
+    parquet.to_parquet(parts, spark, f"{base}/a")
+    for child, parent in ("ba", "cb", "dc"):
+        fragments.write_fragment(parts, spark, f"{base}/{child}", f"{base}/{parent}")
+    return spark.createDataFrame([(p[-1], i) for i, p in enumerate(fragments.ancestry(spark, f"{base}/d"))], "name string, depth int")
+
+
+@query("""select c_custkey as ROWID, case when c_nationkey % 2 = 0 then c_acctbal * 2 else c_acctbal end as c_acctbal,
+ case when c_nationkey % 2 = 0 then 'new' end as tag, c_nationkey from customer""")
+def fragment_read(spark, d):
+    from ..sources import fragments, parquet
+
+    base = _scratch(spark, "fragments")
+    df = _t(spark, d, "customer", "c_custkey").select("ROWID", "c_nationkey", "c_acctbal")
+    parquet.to_parquet(groups.partitions(df, ["c_nationkey"]), spark, f"{base}/root")
+    changed = df.where("c_nationkey % 2 = 0").withColumn("c_acctbal", F.col("c_acctbal") * 2).withColumn("tag", F.lit("new"))
+    fragments.write_fragment(groups.partitions(changed, ["c_nationkey"]), spark, f"{base}/child", f"{base}/root")
+    return fragments.read_fragment(spark, f"{base}/child").select("ROWID", "c_acctbal", "tag", "c_nationkey")
+
+
+@query("select o_orderstatus, count(*) as n_rows, round(sum(o_totalprice), 2) as total from orders group by o_orderstatus")
+def foreign_parquet(spark, d):
+    """A folder that Spark itself has written, without a sidecar."""
+    from ..sources.parquet import from_parquet
+
+    path = _scratch(spark, "foreign")
+    _t(spark, d, "orders").select("o_orderstatus", "o_totalprice").write.partitionBy("o_orderstatus").parquet(path)
+    df = groups.concat(from_parquet(spark, path, types={"o_orderstatus": "string"}))
+    return df.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query("""select o_orderkey as ROWID, o_totalprice from orders union all
+ select (select count(*) from orders) + row_number() over (order by c_custkey) - 1, c_acctbal from customer""")
+def append_rows(spark, d):
+    new = _t(spark, d, "customer").select(F.col("c_acctbal").alias("o_totalprice"), "c_custkey")
+    base = _t(spark, d, "orders", "o_orderkey").select("ROWID", "o_totalprice")
+    return update.append(base, new, ["c_custkey"]).select("ROWID", "o_totalprice")
+
+
+@query("""select o_orderkey as ROWID, case when o_orderkey % 7 = 3 then o_totalprice * 2 else o_totalprice end as o_totalprice from orders union all
+ select (select count(*) from orders) + row_number() over (order by c_custkey) - 1, c_acctbal from customer union all
+ select (select count(*) from orders) + (select count(*) from customer) + row_number() over (order by s_suppkey) - 1, s_acctbal from supplier""")
+def mixed_update_append(spark, d):
+    new = [_t(spark, d, t).select(F.col(c).alias("o_totalprice"), F.col(k).alias("key")) for t, c, k in (("customer", "c_acctbal", "c_custkey"), ("supplier", "s_acctbal", "s_suppkey"))]
+    base = _t(spark, d, "orders", "o_orderkey").select("ROWID", "o_totalprice")
+    return update.mixed(base, [new[0], _changes(spark, d), new[1]], order=["key"]).select("ROWID", "o_totalprice")
+
+
+@query("""with g as (select o_orderstatus, min(o_orderkey) as f, count(*) as n from orders group by 1),
+ c as (select *, row_number() over (order by f) - 1 as group_id from g),
+ s as (select *, case when group_id = 0 then 1000 else 700 end as size from c)
+ select group_id, k as chunk, k * size as first, least((k + 1) * size, n) - 1 as last, least((k + 1) * size, n) - k * size as length
+ from s, unnest(generate_series(0, (n - 1) // size)) t(k)""")
+def group_chunk_table(spark, d):
+    found = sorted(groups.group_list(_t(spark, d, "orders", "o_orderkey"), ["o_orderstatus"]).collect(), key=lambda r: r["group_id"])
+    return ordering.chunk_table(spark, [{"row": 1000}, {"row": 700}], [r["n_rows"] for r in found])
+
+
+@query("""with r as (select *, row_number() over (partition by o_orderstatus order by o_totalprice, o_orderkey) - 1 as p from orders)
+ select o_orderstatus, p // 700 as chunk, count(*) as n_rows, round(sum(o_totalprice), 2) as total from r group by 1, 2""")
+def table_chunks(spark, d):
+    """A table is created, read by groups in an order, and cut into chunks."""
+    from ..sources import tables
+
+    path = _scratch(spark, "orders.tab")
+    tables.Table(spark, path).create(_t(spark, d, "orders", "o_orderkey").select("ROWID", "o_orderstatus", "o_totalprice"), "table")
+    parts = tables.xds_from_table(spark, path, index_cols="o_totalprice", group_cols="o_orderstatus", chunks={"row": 700})
+    out = None
+    for p in parts:
+        made = p.chunked(["o_totalprice"]).select(F.lit(p.o_orderstatus).alias("o_orderstatus"), "chunk", "o_totalprice")
+        out = made if out is None else out.union(made)
+    return out.groupBy("o_orderstatus", F.col("chunk").cast("bigint").alias("chunk")).agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query("""select c_custkey as ROWID, case when c_nationkey = 3 then -c_acctbal else c_acctbal end as c_acctbal, c_nationkey, case when c_nationkey = 3 then 1.5::double end as w from customer
+ union all select (select count(*) from customer) + row_number() over (order by s_suppkey) - 1, s_acctbal, s_nationkey, null from supplier""")
+def table_write(spark, d):
+    """A table is created, one of its groups is changed and gets a column, and rows are appended, all by one write."""
+    from ..sources import tables
+
+    path = _scratch(spark, "customer.tab")
+    tables.Table(spark, path).create(_t(spark, d, "customer", "c_custkey").select("ROWID", "c_acctbal", "c_nationkey"), "table")
+    parts = [p.assign(c_acctbal=-p.df["c_acctbal"], w=1.5) for p in tables.xds_from_table(spark, path, group_cols="c_nationkey") if p.c_nationkey == 3]
+    new = _t(spark, d, "supplier").select(F.col("s_acctbal").alias("c_acctbal"), F.col("s_nationkey").alias("c_nationkey"), "s_suppkey").orderBy("s_suppkey").drop("s_suppkey")
+    tables.xds_to_table([groups.Partition(new, {}), *parts], spark, path)
+    return tables.scan(spark, path).select("ROWID", "c_acctbal", "c_nationkey", "w")
+
+
+@query("select o_custkey, o_orderkey as ROWID, o_totalprice from orders where o_totalprice > 1000")
+def convert_table(spark, d):
+    from ..sources import convert, tables
+
+    path, out = _scratch(spark, "source.tab"), _scratch(spark, "target")
+    tables.Table(spark, path).create(_t(spark, d, "orders", "o_orderkey").select("ROWID", "o_custkey", "o_totalprice", "o_orderstatus"), "table")
+    convert.convert(spark, path, out, "parquet", exclude=["o_orderstatus"], taql_where="o_totalprice > 1000", chunks={"row": 5000})
+    convert.convert(spark, out, f"{out}-back", "table")
+    return groups.concat(convert.read_store(spark, f"{out}-back")).select("o_custkey", "ROWID", "o_totalprice")
+
+
+@query("select k as chunk, k * 700 as start, least((k + 1) * 700, n) as \"end\", least((k + 1) * 700, n) - 1 as last from (select count(*) as n from events), unnest(generate_series(0, (n - 1) // 700)) t(k)")
+def row_extents(spark, d):
+    df = _t(spark, d, "events", "event_id")
+    inclusive = ordering.chunk_extents(df, 700, inclusive=True).select("chunk", F.col("end").alias("last"))
+    return ordering.chunk_extents(df, 700).join(inclusive, "chunk")
+
+
+@query("select chunk, count(*) as n_rows, min(p) as first, max(p) as last from (select p, p // 700 as chunk from (select row_number() over (order by value, event_id) - 1 as p from events)) group by chunk")
+def rechunk_rows(spark, d):
+    out = ordering.rechunked(_t(spark, d, "events", "event_id").select("ROWID", "value"), 700, ["value"])
+    return out.groupBy(F.col("chunk").cast("bigint").alias("chunk")).agg(F.count(F.lit(1)).alias("n_rows"), F.min("position").alias("first"), F.max("position").alias("last"))
+
+
+@query("select o_orderkey as row, row_number() over (order by o_totalprice, o_orderkey) - 1 as position from orders where o_orderkey % 50 <> 7")
+def resort_index(spark, d):
+    runs = ordering.ordered_runs(_t(spark, d, "orders", "o_orderkey").where("o_orderkey % 50 <> 7"), ["o_totalprice"])
+    out = runs.select("first", F.posexplode("resort").alias("i", "position"))
+    return out.select((F.col("first") + F.col("i")).alias("row"), F.col("position").cast("bigint").alias("position"))
+
+
+@query("""select vec_id, i as pos, case when i between 8 and 15 then 0.5 else embedding[i + 1]::double end as v from embeddings, generate_series(0, 63) g(i)""")
+def tensor_assign(spark, d):
+    part = F.array_repeat(F.lit(0.5), 8)
+    cell = tensors.assign_slab(F.col("embedding").cast("array<double>"), part, [8])
+    return _t(spark, d, "embeddings").select("vec_id", F.posexplode(cell).alias("pos", "v")).select("vec_id", F.col("pos").cast("bigint").alias("pos"), "v")
+
+
+@query("""select vec_id, i as pos, embedding[2*i+1]::double as re, embedding[2*i+2]::double as im from embeddings, generate_series(0, 31) g(i)""")
+def complex_pairs(spark, d):
+    """Pairs to complex cells and back."""
+    made = tensors.complex_of(tensors.shaped(F.col("embedding").cast("array<double>"), (32, 2)))
+    out = _t(spark, d, "embeddings").select("vec_id", F.posexplode(tensors.pairs_of(made)).alias("pos", "p"))
+    return out.select("vec_id", F.col("pos").cast("bigint").alias("pos"), F.col("p")[0].alias("re"), F.col("p")[1].alias("im"))
+
+
+def _cube(spark, d):
+    """Regions as antennas, their products but each seventh, users modulo 11 as scans, events as dumps."""
+    antennas = _t(spark, d, "region").select(F.col("r_regionkey").cast("int").alias("id"), F.concat(F.lit("m00"), "r_regionkey").alias("name"))
+    pols = spark.createDataFrame([(0, "h", "h"), (1, "h", "v"), (2, "v", "h"), (3, "v", "v")], "k int, p string, q string")
+    a, b = antennas.toDF("i", "m"), antennas.toDF("j", "n")
+    products = a.join(b, F.col("i") <= F.col("j")).crossJoin(pols).select(
+        (F.col("i") * 20 + F.col("j") * 4 + F.col("k")).alias("index"), F.concat("m", "p").alias("input1"), F.concat("n", "q").alias("input2")).where("index % 7 <> 3")
+    scans = spark.range(11).selectExpr("cast(id as int) scan", "if(id % 5 = 4, 'slew', 'track') state", "concat('T', id % 3) target",
+                                       "if(id % 3 = 0, array('bpcal', 'gaincal'), if(id % 3 = 1, array('target', 'other'), array('other'))) tags", "id * 0.1D ra", "id * 0.2D dec")
+    cells = "transform(sequence(0, 1), c -> transform(sequence(0, 99), p -> {}))"
+    dumps = _t(spark, d, "events").select(
+        F.col("event_id").alias("t"), F.col("value").alias("time"), (F.col("user_id") % 11).cast("int").alias("scan"),
+        F.expr(cells.format("named_struct('re', value + p, 'im', cast(c as double))")).alias("vis"), F.expr(cells.format("(event_id + p) % 5 = 0")).alias("flags"),
+        F.expr(cells.format("1D + p % 3 + c")).alias("weights"))
+    uvw = _t(spark, d, "events").select(F.col("event_id").alias("t"), "value").crossJoin(antennas.select("id")).select(
+        "t", "id", F.array(F.col("value") * F.col("id"), F.col("id") * 1.0, F.lit(0.0)).alias("uvw"))
+    return antennas, products, scans, dumps, uvw
+
+
+_CUBE = """with s as (select k as scan, k % 3 as target, case when k % 3 = 0 then 1 when k % 3 = 1 then 2 else 0 end as STATE_ID from unnest(generate_series(0, 10)) t(k) where k % 5 <> 4),
+ p as (select x.r_regionkey as a, y.r_regionkey as b, k, x.r_regionkey * 20 + y.r_regionkey * 4 + k as idx from region x join region y on x.r_regionkey < y.r_regionkey, unnest(generate_series(0, 3)) t(k)),
+ bl as (select a, b, row_number() over (order by max(case when k = 0 then case when idx % 7 = 3 then -1 else idx end end), a, b) - 1 as bl from p group by a, b),
+ e as (select events.*, s.target, s.STATE_ID, s.scan from events join s on user_id % 11 = s.scan)"""
+
+
+@query(_CUBE + """, c as (select e.event_id, p.a, p.b, sum(case when idx % 7 = 3 then 0 else value + idx end) as vis, sum(case when idx % 7 = 3 or (event_id + idx) % 5 = 0 then 1 else 0 end) as flagged,
+   sum(case when idx % 7 = 3 then 0 else 1.5 + idx % 3 end) as weight from e, p group by all)
+ select c.event_id * (select count(*) from bl) + bl.bl as ROWID, c.a as ANTENNA1, c.b as ANTENNA2, e.target::int as FIELD_ID, e.STATE_ID::int as STATE_ID, e.scan::int as SCAN_NUMBER, e.value as TIME,
+   round(2 * c.vis, 6) as vis, 2 * c.flagged as flagged, c.weight::double as weight, round(value * (c.a - c.b), 9) as u, (c.a - c.b)::double as v
+ from c join bl using (a, b) join e using (event_id)""")
+def cube_main(spark, d):
+    antennas, products, scans, dumps, uvw = _cube(spark, d)
+    pairs = cube.product_pairs(antennas, products)
+    out = cube.main_table(dumps, scans, pairs, 8.0, uvw)
+    total = lambda c: F.aggregate(F.flatten(c), F.lit(0.0), lambda a, x: a + x)
+    return out.select("ROWID", "ANTENNA1", "ANTENNA2", F.col("FIELD_ID").cast("int").alias("FIELD_ID"), F.col("STATE_ID").cast("int").alias("STATE_ID"), "SCAN_NUMBER", "TIME",
+                      F.round(total(F.transform("DATA", lambda r: F.transform(r, lambda x: x["re"]))), 6).alias("vis"), F.size(F.filter(F.flatten("FLAG"), lambda x: x)).alias("flagged"),
+                      tensors.total("WEIGHT").alias("weight"), F.round(F.col("UVW")[0], 9).alias("u"), F.col("UVW")[1].alias("v"))
+
+
+@query("""select * from (values (0, 'UNKNOWN', 0), (1, 'CALIBRATE_BANDPASS,CALIBRATE_FLUX,CALIBRATE_PHASE,CALIBRATE_AMPLI', 0), (2, 'TARGET', 0)) t("ROWID", OBS_MODE, FLAG_ROW)""")
+def cube_states(spark, d):
+    return cube.states(_cube(spark, d)[2]).select("ROWID", "OBS_MODE", "FLAG_ROW")
+
+
+@query("select r_regionkey as ANTENNA_ID, 'X,Y' as kinds, 2 as NUM_RECEPTORS, -1 as SPECTRAL_WINDOW_ID, 2.0::double as trace from region")
+def cube_feeds(spark, d):
+    out = cube.feed_table(_cube(spark, d)[0])
+    trace = (F.col("POL_RESPONSE")[0][0]["re"] + F.col("POL_RESPONSE")[1][1]["re"]).cast("double")
+    return out.select("ANTENNA_ID", F.array_join("POLARIZATION_TYPE", ",").alias("kinds"), "NUM_RECEPTORS", "SPECTRAL_WINDOW_ID", trace.alias("trace"))
+
+
+@query(_CUBE + """ select s.target::bigint as ROWID, 'T' || s.target as NAME, s.target::int as SOURCE_ID, min(s.scan) * 0.1::double as ra from s group by s.target""")
+def cube_fields(spark, d):
+    out = cube.source_table(cube.field_table(_cube(spark, d)[2], 1.0))
+    return out.select("ROWID", "NAME", "SOURCE_ID", F.col("DIRECTION")[0].alias("ra"))

@@ -43,6 +43,11 @@ def read_fragment(spark: SparkSession, path: str, columns=None) -> DataFrame:
     return out if columns is None else out.select(*keys, ROWID, *[c for c in columns if c in out.columns])
 
 
+def read_main_fragment(spark: SparkSession, path: str, columns=None) -> DataFrame:
+    """The same for a main table: its keys and ROWID are its own already."""
+    return read_fragment(spark, path, columns)
+
+
 def write_fragment(parts: Sequence[Partition], spark: SparkSession, path: str, parent: str, columns="ALL") -> DataFrame:
     """Writes partitions as a fragment of `parent`."""
     if Store(spark, path) == Store(spark, parent):

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.groups import Partition
-from ..operators.ordering import ROWID
+from ..operators.groups import MOST, Partition, _listed, keyed
+from ..operators.ordering import ROWID, group_chunks
 from ..plans.unify import from_json, to_json, unify
 from .store import MAIN, Store
 
@@ -17,11 +17,16 @@ SIDECAR = "_schema.json"
 
 
 def _folder(store: Store) -> Store:
-    return store if store.table else store.sub("MAIN_")
+    """The folder of a table: SUB of a sub-table, MAIN of the main one."""
+    if store.table:
+        return store
+    out = Store(store.spark, store.root, store.options)
+    out.table = MAIN
+    return out
 
 
 def chosen(df: DataFrame, columns: None | str | Sequence[str], keys: Sequence[str]) -> DataFrame:
-    """None or "ALL": all columns; a list: those of it that exist (an empty one: none).  Keys and ROWID stay."""
+    """None or "ALL": all columns; a list: its columns, which have to exist (an empty one: none).  Keys and ROWID stay."""
     if columns is None or isinstance(columns, str) and columns == "ALL":
         return df
     names = [columns] if isinstance(columns, str) else list(columns)
@@ -51,38 +56,64 @@ def to_parquet(parts: Sequence[Partition], spark: SparkSession, path: str, colum
     writer = out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys)
     (writer.option("maxRecordsPerFile", rows_per_file) if rows_per_file else writer).parquet(store.path)
     store.write_text(SIDECAR, to_json(spark.createDataFrame([], schema), {**(attrs or {}), "partition": keys}))
-    return out.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
+    return spark.read.schema(schema).parquet(store.path).groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))  # from files' footers
+
 
+def scan_parquet(spark: SparkSession, path: str, columns=None, types: dict[str, str] | None = None) -> tuple[DataFrame, list[str], dict]:
+    """A store as one DataFrame, its partition keys and attributes.
 
-def scan_parquet(spark: SparkSession, path: str, columns=None) -> tuple[DataFrame, list[str], dict]:
-    """A store as one DataFrame, its partition keys and attributes; types come from the sidecar, so keys are
-    never guessed from folder names."""
+    Types come from the sidecar, so keys are never guessed from folder names.  A store that another engine wrote has no
+    sidecar: it may have its main table in MAIN or at the root, keys are those of its folders, and their types those
+    that `types` names, else what Spark infers.  All folders have to have the same keys."""
     store = _folder(Store(spark, path))
+    if not store.exists() and not Store(spark, path).table:
+        store = Store(spark, path)
     text = store.read_text(SIDECAR)
+    files = [f for f in store.walk() if f.endswith(".parquet") and not any(x[:1] in "._" for x in f.split("/"))]
+    found = {tuple(p.split("=", 1)[0] for p in f.split("/")[:-1] if "=" in p) for f in files}
     if text is None:
-        raise FileNotFoundError(f"{path} is no partitioned store")
-    schema, attrs = from_json(text)
-    keys = attrs["partition"]
-    for folder in store.walk():
-        found = [p.split("=", 1)[0] for p in folder.split("/")[:-1] if "=" in p]
-        if found and found != keys:
-            raise ValueError(f"{folder} is partitioned by {found}, not by {keys}")
-    df = spark.read.schema(schema).parquet(store.path)
+        if not files:
+            raise FileNotFoundError(f"{path} is no partitioned store")
+        schema, attrs, keys = None, {}, list(min(found))
+    else:
+        schema, attrs = from_json(text)
+        keys = attrs["partition"]
+    if wrong := [f for f in found if list(f) != keys]:
+        raise ValueError(f"{path} is partitioned by {keys} and by {list(wrong[0])}")
+    if schema is None:
+        df = spark.read.option("mergeSchema", "true").parquet(store.path)
+        for k, t in (types or {}).items():
+            cast = F.col(k).cast("string").try_cast(t)
+            if k in keys and not df.where(F.col(k).isNotNull() & cast.isNull()).isEmpty():
+                raise ValueError(f"values of {k} are no {t}")
+            df = df.withColumn(k, cast)
+        attrs = {"partition": keys}
+    else:
+        df = spark.read.schema(schema).parquet(store.path)
     return chosen(df, columns, keys), keys, attrs
 
 
-def from_parquet(spark: SparkSession, path: str, columns=None) -> list[Partition]:
-    """The partitions of a store in the order of their keys' values."""
-    df, keys, attrs = scan_parquet(spark, path, columns)
-    out = []
-    for row in df.select(*keys).distinct().orderBy(*keys).collect():
-        values = {k: row[k] for k in keys}
-        same = F.lit(True)
-        for k, v in values.items():
-            same = same & F.col(k).eqNullSafe(F.lit(v))
-        part = df.where(same).drop(*keys)
-        more = {"__partition_schema__": tuple((k, df.schema[k].dataType.simpleString()) for k in keys)}
-        out.append(Partition(part.orderBy(ROWID) if ROWID in part.columns else part, (values if keys != ["DATASET"] else {}) | more))
+def read_column(spark: SparkSession, path: str, column: str, start: int = 0, end: int | None = None) -> DataFrame:
+    """Rows start to end (without) of one column of a Parquet file, by the files' own row index."""
+    df = spark.read.parquet(path).select(column, F.col("_metadata.row_index").alias("row"))
+    df = df.where(F.col("row") >= start)
+    return df if end is None else df.where(F.col("row") < end)
+
+
+def from_parquet(spark: SparkSession, path: str, columns=None, chunks: None | dict | Sequence[dict] = None, types: dict[str, str] | None = None,
+                 most: int = MOST) -> list[Partition]:
+    """The partitions of a store in the order of their keys' values, `most` at most; `chunks` as for tables."""
+    df, keys, _ = scan_parquet(spark, path, columns, types)
+    if not keys:
+        return [Partition(df.orderBy(ROWID) if ROWID in df.columns else df, {})]
+    out, specs = [], [chunks] if isinstance(chunks, dict) else list(chunks or [])
+    found = _listed(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).orderBy(*keys), most)
+    for i, row in enumerate(found):
+        part = df.where(keyed(keys, row)).drop(*keys)
+        attrs = {} if keys == ["DATASET"] else {k: row[k] for k in keys}
+        attrs["__partition_schema__"] = tuple((k, df.schema[k].dataType.simpleString()) for k in keys)
+        sizes = {**specs[min(i, len(specs) - 1)], "row": group_chunks(specs, [0] * i + [row["__n"]])[i]} if specs else None
+        out.append(Partition(part.orderBy(ROWID) if ROWID in part.columns else part, attrs, chunks=sizes))
     return out
 
 

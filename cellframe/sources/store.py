@@ -25,7 +25,9 @@ class Store:
 
     def __init__(self, spark: SparkSession, url: str, options: dict | None = None):
         main, mark, sub = url.partition("::")
-        self.spark, self.root, self.table = spark, main.rstrip("/"), sub.strip("/") if mark and sub != MAIN else ""
+        if sub.strip("/") == MAIN:
+            raise ValueError(f"{MAIN} is the name of the main table and no sub-table: leave it out")
+        self.spark, self.root, self.table = spark, main.rstrip("/"), sub.strip("/") if mark else ""
         if options is None:
             options = next((o for p, o in self.config if url.startswith(p)), {})
         self.options = dict(options)
@@ -66,7 +68,7 @@ class Store:
     def subdirectories(self) -> list[str]:
         fs, path = self._fs()
         return sorted(s.getPath().getName() for s in fs.listStatus(path) if s.isDirectory() and "=" not in s.getPath().getName()
-                      and s.getPath().getName()[0] not in "._") if fs.exists(path) else []
+                      and s.getPath().getName()[0] not in "._" and s.getPath().getName() != MAIN) if fs.exists(path) else []
 
     def makedirs(self) -> None:
         fs, path = self._fs()
@@ -98,12 +100,24 @@ class Store:
         finally:
             stream.close()
 
+    def newest(self) -> str | None:
+        """The newest of a table's numbered sidecars."""
+        found = [n for n in self.ls() if n.startswith("_table-") and n.endswith(".json")]
+        return max(found) if found else None
+
+    def open(self, more: str = "", fmt: str = "binaryFile", **options):
+        """A reader's DataFrame on a file or folder of the store, with the store's options."""
+        return self.spark.read.options(**{**self.options, **options}).format(fmt).load(f"{self.path}/{more}" if more else self.path)
+
+    def __reduce__(self):
+        return _reopened, (self.url, self.options)
+
     def sub(self, name: str) -> Store:
         return Store(self.spark, f"{self.root}::{name}", self.options)
 
     def type(self) -> str:
         """"table" (a versioned table of this engine), "parquet" or "zarr"."""
-        if self.exists("_table.json"):
+        if self.newest() is not None:
             return "table"
         for name in self.walk():
             if name.endswith(".zgroup"):
@@ -125,6 +139,11 @@ class Store:
         return hash((self.url, tuple(sorted(self.options.items()))))
 
 
+def _reopened(url: str, options: dict) -> Store:
+    """A pickled store, on the session of the process that unpickles it."""
+    return Store(SparkSession.getActiveSession(), url, options)
+
+
 def is_archive_url(url: str) -> bool:
     """A correlator archive's address: a host under kat.ac.za and a path that ends in rdb (https needs a token)."""
     from urllib.parse import parse_qs, urlparse
