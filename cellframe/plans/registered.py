@@ -474,7 +474,7 @@ _CUBE = """with s as (select k as scan, k % 3 as target, case when k % 3 = 0 the
 @query(_CUBE + """, c as (select e.event_id, p.a, p.b, sum(case when idx % 7 = 3 then 0 else value + idx end) as vis, sum(case when idx % 7 = 3 or (event_id + idx) % 5 = 0 then 1 else 0 end) as flagged,
    sum(case when idx % 7 = 3 then 0 else 1.5 + idx % 3 end) as weight from e, p group by all)
  select c.event_id * (select count(*) from bl) + bl.bl as ROWID, c.a as ANTENNA1, c.b as ANTENNA2, e.target::int as FIELD_ID, e.STATE_ID::int as STATE_ID, e.scan::int as SCAN_NUMBER, e.value as TIME,
-   round(2 * c.vis, 6) as vis, 2 * c.flagged as flagged, c.weight::double as weight, round(value * (c.a - c.b), 9) as u, (c.a - c.b)::double as v
+   round(2 * c.vis, 6) as vis, (2 * c.flagged)::bigint as flagged, c.weight::double as weight, round(value * (c.a - c.b), 9) as u, (c.a - c.b)::double as v
  from c join bl using (a, b) join e using (event_id)""")
 def cube_main(spark, d):
     antennas, products, scans, dumps, uvw = _cube(spark, d)
@@ -482,11 +482,11 @@ def cube_main(spark, d):
     out = cube.main_table(dumps, scans, pairs, 8.0, uvw)
     total = lambda c: F.aggregate(F.flatten(c), F.lit(0.0), lambda a, x: a + x)
     return out.select("ROWID", "ANTENNA1", "ANTENNA2", F.col("FIELD_ID").cast("int").alias("FIELD_ID"), F.col("STATE_ID").cast("int").alias("STATE_ID"), "SCAN_NUMBER", "TIME",
-                      F.round(total(F.transform("DATA", lambda r: F.transform(r, lambda x: x["re"]))), 6).alias("vis"), F.size(F.filter(F.flatten("FLAG"), lambda x: x)).alias("flagged"),
+                      F.round(total(F.transform("DATA", lambda r: F.transform(r, lambda x: x["re"]))), 6).alias("vis"), F.size(F.filter(F.flatten("FLAG"), lambda x: x)).cast("bigint").alias("flagged"),
                       tensors.total("WEIGHT").alias("weight"), F.round(F.col("UVW")[0], 9).alias("u"), F.col("UVW")[1].alias("v"))
 
 
-@query("""select * from (values (0, 'UNKNOWN', 0), (1, 'CALIBRATE_BANDPASS,CALIBRATE_FLUX,CALIBRATE_PHASE,CALIBRATE_AMPLI', 0), (2, 'TARGET', 0)) t("ROWID", OBS_MODE, FLAG_ROW)""")
+@query("""select * from (values (0::bigint, 'UNKNOWN', 0), (1, 'CALIBRATE_BANDPASS,CALIBRATE_FLUX,CALIBRATE_PHASE,CALIBRATE_AMPLI', 0), (2, 'TARGET', 0)) t("ROWID", OBS_MODE, FLAG_ROW)""")
 def cube_states(spark, d):
     return cube.states(_cube(spark, d)[2]).select("ROWID", "OBS_MODE", "FLAG_ROW")
 
