@@ -80,9 +80,9 @@ def materialize(df: DataFrame, name: str, files: int | None = None) -> DataFrame
     return out
 
 
-def files_for(rows: int, each: int = 1 << 17) -> int:
-    """Files for a number of rows, `each` rows in a file."""
-    return max(1, -(-rows // each))
+def files_for(rows: int) -> int:
+    """Files for a number of rows: of 8,192 rows each, 200 at most until that makes more than 262,144 rows a file."""
+    return max(1, min(rows >> 13, max(200, rows >> 18)))
 
 
 def remove(*tables: DataFrame) -> None:

@@ -162,8 +162,8 @@ def components(edges: DataFrame) -> DataFrame:
     Each round takes the smallest label among the neighbours and then the label's own label.  Every round's
     labels are a table of their own, so no lineage grows, and only numbers come to the driver."""
     both = materialize(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a <> b").distinct(),
-                       "edges", files_for(2 * edges.count(), 1 << 18))
-    files = files_for(both.count(), 1 << 18)
+                       "edges", files_for(2 * edges.count()))
+    files = files_for(both.count())
     labels = materialize(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select(
         "id", F.col("id").alias("was"), F.least("id", "m").alias("comp")), "labels", files)
     while True:
@@ -192,7 +192,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     ship(spark)
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), octets("text").alias("text"))
     sig = materialize(base.mapInArrow(_signing(k, bands, rows), _SIG_DDL), "signatures")
-    files = files_for(sig.count(), 1 << 15)  # of tables with a few rows for each document
+    files = files_for(sig.count())  # of tables with a few rows for each document
     full = sig.where("n > 0")
     reps = materialize(
         full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("s1").alias("s1"),
