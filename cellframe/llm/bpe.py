@@ -27,7 +27,7 @@ from .common import Memo, batch_of, gathered, pieces, read, ship
 class Bpe:
     """An encoder and decoder for ranks (bytes to id, of any size) and a pre-tokenising pattern."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, room: int = 64 << 20):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, room: int = 96 << 20):
         self.ranks, self.vocabulary = ranks, {i: b for b, i in ranks.items()}
         # The bitmap's two levels: groups of 256 ranks, and as many groups as the ranks need.
         self.bits = [1 << i for i in range(max(256, (max(ranks.values(), default=0) >> 8) + 1))]
@@ -197,7 +197,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Digests(bpe(path, pattern))
-        for batch in pieces(gathered(batches, "text", 4 << 20), "text", 6 << 20):
+        for batch in pieces(gathered(batches, "text", 6 << 20), "text", 8 << 20):
             yield batch_of(_DIGESTS, batch.column("doc_id"), *of(batch.column("text")))
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(

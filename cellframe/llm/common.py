@@ -146,7 +146,7 @@ def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:
 def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = 32 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that the named binary or string column holds about `limit` bytes at most (one row at least).
 
-    Memory that the pieces before have left is given back to the system every 8 MB and at the end."""
+    Memory that the pieces before have left is given back to the system every 32 MB and at the end."""
     done = 0
     for batch in batches:
         lengths = np.cumsum(_lengths(batch.column(column)))
@@ -156,7 +156,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = 32 << 20
             yield batch.slice(start, stop - start)
             done += int(lengths[stop - 1]) - base
             start, base = stop, int(lengths[stop - 1])
-            if done >= 8 << 20:
+            if done >= 32 << 20:
                 trim()
                 done = 0
     trim()

@@ -270,7 +270,7 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     Rows without an id take part, each as a document of its own behind all ids: such a row is kept only if its
     component has no id and it is the component's first, by the digest of its text.
     """
-    count, top = docs.agg(F.count(F.when(F.col("doc_id").isNull(), 1)), F.max(F.col("doc_id").cast("bigint"))).first()
+    count, top, total = docs.agg(F.count(F.when(F.col("doc_id").isNull(), 1)), F.max(F.col("doc_id").cast("bigint")), F.count(F.lit(1))).first()
     keyed = docs.withColumn("__key", F.col("doc_id").cast("bigint"))
     if count:
         at = F.monotonically_increasing_id() + F.lit(-1 if top is None else top) + 1
@@ -278,7 +278,7 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
         keyed = keyed.where("doc_id is not null").union(materialize(unnamed, "unnamed"))
     found = near_duplicates(keyed.select(F.col("__key").alias("doc_id"), "text"), **options)
     gone = found.where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return keyed.join(gone, F.col("__key") == F.col("__gone"), "left_anti").drop("__key")
+    return keyed.join(gone, F.col("__key") == F.col("__gone"), "left_anti").drop("__key").coalesce(files_for(total))
 
 
 def op5_query(spark: SparkSession, sf_dir: str) -> DataFrame:

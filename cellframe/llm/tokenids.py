@@ -118,7 +118,7 @@ def tokenise(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, (special, whole) = _encoder(path), _added(path)
-        for batch in pieces(gathered(batches, "text", 6 << 20), "text", 8 << 20):
+        for batch in pieces(gathered(batches, "text", 12 << 20), "text", 18 << 20):
             texts = batch.column("text")
             apart = special(texts)
             if apart.any():
