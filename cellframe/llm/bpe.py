@@ -190,8 +190,9 @@ class Digests:
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 for each row of `docs` (doc_id, text; others are ignored).
 
-    Null and empty texts have no tokens and the digests of empty strings; repeated rows get equal results;
-    an empty table gives an empty result; texts are encoded whole, however long.
+    Null and empty texts have no tokens and the digests of empty strings; repeated rows and rows without an id get their
+    results each; an empty table gives an empty result; texts are encoded whole, however long.  A vocabulary may have any
+    ranks; it has to hold the 256 bytes.
     """
     ship(docs.sparkSession)
 

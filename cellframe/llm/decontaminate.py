@@ -134,7 +134,8 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, limit
 
     `docs` has doc_id and text, `benchmark` item_id and text; other columns are ignored.  Null and empty
     texts have no words and no hits.  Items without words have no window; items without an id mark words
-    but are not named.  Repeated rows get equal results.  An empty benchmark hits nothing.
+    but are not named.  Repeated rows and items get equal results, very long texts are scanned whole.  An empty benchmark
+    hits nothing, an empty table gives an empty result.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -195,8 +196,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents"
                   limit: int = LIMIT) -> DataFrame:
     """`docs`, all columns, without contaminated documents ("documents") or with the hit words cut out ("spans").
 
-    Each row is judged and cut by its own text, whatever its doc_id.  Several blocks of the benchmark give the same
-    result as one: hits of all blocks are gathered on the original texts first.
+    Each row is judged and cut by its own text, whatever its doc_id (null or repeated).  Null, empty and blank texts have no
+    words and stay as they are; very long texts are scanned whole; an empty benchmark removes nothing; an empty table gives
+    an empty result.  Several blocks of the benchmark give the same result as one: hits of all blocks are gathered on the
+    original texts first.
     """
     if mode not in ("documents", "spans"):
         raise ValueError(f"mode is 'documents' or 'spans', not {mode!r}")

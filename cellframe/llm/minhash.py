@@ -31,9 +31,9 @@ from .words import BLANK, sets
 BANDS, ROWS = 25, 5
 #: Shingles of stray documents in a block; a block has four times as many of other documents.
 BLOCK = 250_000
-_SIG = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("s1", pa.int64()),
+_SIG = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("s1", pa.int64()),
                   ("s2", pa.int64()), ("bands", pa.list_(pa.int64()))])
-_SIG_DDL = "doc_id bigint, n bigint, digest binary, s1 bigint, s2 bigint, bands array<bigint>"
+_SIG_DDL = "doc_id bigint, text_key bigint, n bigint, digest binary, s1 bigint, s2 bigint, bands array<bigint>"
 
 
 def signatures(items: list[np.ndarray], size: int) -> np.ndarray:
@@ -78,7 +78,7 @@ def _signing(k: int, bands: int, rows: int):
             bits = np.packbits(((sig[:, :128] >> np.uint32(7)) & np.uint32(1)).astype(np.uint8), axis=1)
             bits = np.ascontiguousarray(np.pad(bits, ((0, 0), (0, 16 - bits.shape[1])))).view(np.int64)
             offsets = np.arange(0, len(sig) * bands + 1, bands, dtype=np.int32)
-            yield batch_of(_SIG, batch.column("doc_id"), n, digest, pa.array(bits[:, 0]), pa.array(bits[:, 1]),
+            yield batch_of(_SIG, batch.column("doc_id"), batch.column("text_key"), n, digest, pa.array(bits[:, 0]), pa.array(bits[:, 1]),
                            pa.ListArray.from_arrays(offsets, keys.view(np.int64).ravel()))
 
     return run
@@ -179,7 +179,7 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, **options) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of `docs` (doc_id, text; other columns are ignored).
 
     Documents are linked when 100 * |A & B| >= percent * |A | B| over distinct k-word shingles.
@@ -188,10 +188,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     class has no id.  An empty table gives an empty result.  Very long texts are hashed whole, segment by segment.
     Intermediate tables are removed but for the last ones, which the result reads.
     """
+    return _judged(docs, k, percent, **options).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _judged(docs: DataFrame, k: int, percent: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """What `near_duplicates` gives, with text_key, a hash of the row's text."""
     spark = docs.sparkSession
     ship(spark)
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), octets("text").alias("text"))
-    sig = materialize(base.mapInArrow(_signing(k, bands, rows), _SIG_DDL), "signatures")
+    sig = materialize(base.withColumn("text_key", F.xxhash64("text")).mapInArrow(_signing(k, bands, rows), _SIG_DDL), "signatures")
     files = files_for(sig.count())  # of tables with a few rows for each document
     full = sig.where("n > 0")
     reps = materialize(
@@ -237,9 +242,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
 
     found = reps.select("digest", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
         "digest", F.coalesce("comp", "rep").alias("component_id"))
-    out = full.select("doc_id", "n", "digest").join(found, "digest").select("doc_id", "n", "component_id")
-    out = out.union(sig.where("n = 0").select("doc_id", "n", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id",
+    out = full.select("doc_id", "text_key", "n", "digest").join(found, "digest").select("doc_id", "text_key", "n", "component_id")
+    out = out.union(sig.where("n = 0").select("doc_id", "text_key", "n", "doc_id"))
+    return out.select("doc_id", "text_key", F.col("n").alias("n_shingles"), "component_id",
                       F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
@@ -264,11 +269,12 @@ def _texts(texts: DataFrame, asked: DataFrame) -> DataFrame:
     return texts.join(asked, "rep", "left_semi")
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, **options) -> DataFrame:
     """`docs` without the documents that are not their component's smallest id.
 
     Rows without an id take part, each as a document of its own behind all ids: such a row is kept only if its
-    component has no id and it is the component's first, by the digest of its text.
+    component has no id and it is the component's first, by the digest of its text.  Rows that repeat an id and a text
+    stay or go together; rows of one id with different texts are judged each by its own.  Null and blank texts stay.
     """
     count, top, total = docs.agg(F.count(F.when(F.col("doc_id").isNull(), 1)), F.max(F.col("doc_id").cast("bigint")), F.count(F.lit(1))).first()
     keyed = docs.withColumn("__key", F.col("doc_id").cast("bigint"))
@@ -276,9 +282,10 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
         at = F.monotonically_increasing_id() + F.lit(-1 if top is None else top) + 1
         unnamed = docs.where("doc_id is null").orderBy(F.sha2(octets("text"), 256)).withColumn("__key", at)
         keyed = keyed.where("doc_id is not null").union(materialize(unnamed, "unnamed"))
-    found = near_duplicates(keyed.select(F.col("__key").alias("doc_id"), "text"), **options)
-    gone = found.where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return keyed.join(gone, F.col("__key") == F.col("__gone"), "left_anti").drop("__key").coalesce(files_for(total))
+    found = _judged(keyed.select(F.col("__key").alias("doc_id"), "text"), k, percent, **options)
+    gone = found.where("not kept").select(F.col("doc_id").alias("__gone"), F.col("text_key").alias("__text")).distinct()
+    same = (F.col("__key") == F.col("__gone")) & (F.xxhash64(octets(F.col("text"))) == F.col("__text"))
+    return keyed.join(gone, same, "left_anti").drop("__key").coalesce(files_for(total))
 
 
 def op5_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -155,8 +155,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """doc_id, held_out, score and predicted for each row of `docs`.
 
     Rows whose crc32(doc_id) mod 5 is 0 are held out of training (a null doc_id counts as an empty text).
-    Null and empty texts get the bias's score.  Repeated rows are scored alike; an empty table gives an
-    empty result; columns beside doc_id and text are not looked at.
+    Null and empty texts get the bias's score, very long ones are scored whole.  Repeated rows are scored alike; a score
+    of exactly one half is toxic; an empty table gives an empty result; columns beside doc_id and text, whatever their
+    names, are not looked at.
     """
     weights = train(docs, labels.where(_split() != 0), **options)
     score = scorer(docs.sparkSession, weights)
@@ -165,7 +166,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of `docs`, all columns, that are scored under 0.5."""
+    """The rows of `docs`, all columns, that are scored under 0.5 (see `toxicity`): each row by its own text, whatever its
+    doc_id, so rows without an id and repeated rows stay or go by their texts.  Without labels all rows stay."""
     score = scorer(docs.sparkSession, train(docs, labels.where(_split() != 0), **options))
     return docs.where(score(octets("text")) < 0.5)
 

@@ -63,6 +63,15 @@ def test_keep_one_without_ids(spark):
     assert len(kept) == 7 and minhash.keep_one(df.limit(0)).count() == 0
 
 
+def test_keep_one_with_repeated_ids(spark):
+    """An id on a copy and on an unrelated text loses the copy alone."""
+    rng = random.Random(12)
+    a, b, c = (" ".join(rng.choices(WORDS, k=60)) for _ in range(3))
+    rows = [(3, a), (5, a), (5, b), (5, b), (8, b + " end"), (9, c), (9, None)]
+    kept = [(r["doc_id"], r["text"]) for r in minhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(map(str, kept)) == sorted(map(str, [(3, a), (5, b), (5, b), (9, c), (9, None)]))
+
+
 def test_token_files_and_bpe(docs):
     import public_tokenizers
     import tiktoken
