@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as
 the next stage's docs.  All but the last return the columns of `documents`.
+
+Every stage takes rows with a null in any column, empty and very long texts, repeated rows, rows that share an id, empty
+tables and further columns: rows are judged each by its own text, and what that means is stated by the functions that
+the stages call (`toxicity.keep_clean`, `minhash.keep_one`, `decontaminate.decontaminate`, `bpe.digests`).
 """
 
 from __future__ import annotations
@@ -34,7 +38,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", clean), ("near_duplicates", distinct), ("decontamination", uncontaminated), ("bpe", encode)]
 
-#: Toxicity is a trained model and MinHash verification is no SQL, so tests hold the rows against brute force.
+#: Toxicity is a trained model, which SQL cannot express: tests/llm/test_pipeline.py holds the rows against plain Python.
 ORACLE_SQL = None
 
 
