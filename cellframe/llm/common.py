@@ -81,8 +81,8 @@ def materialize(df: DataFrame, name: str, files: int | None = None) -> DataFrame
 
 
 def files_for(rows: int) -> int:
-    """Files for a number of rows: of 8,192 rows each, 200 at most until that makes more than 262,144 rows a file."""
-    return max(1, min(rows >> 13, max(200, rows >> 18)))
+    """Files for a number of rows: of 32,768 rows each, 200 at most until that makes more than 262,144 rows a file."""
+    return max(1, min(-(-rows // (1 << 15)), max(200, rows >> 18)))
 
 
 def remove(*tables: DataFrame) -> None:
