@@ -12,6 +12,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bound(value: Column | str, fn: Callable[[Column], Column]) -> Column:
+    """fn(value) with the value computed once, however often fn names it."""
+    return F.get(F.transform(F.array(_col(value)), fn), F.lit(0))
+
+
 def shape(cell: Column | str, ndim: int) -> Column:
     """The cell's extents, taken along first elements; null cells have a null shape."""
     cell, out = _col(cell), []
@@ -68,9 +73,9 @@ def mean(vector: Column | str) -> Column:
 
 def axis_mean(matrix: Column | str) -> Column:
     """The mean over the first axis of a matrix, a vector over the second."""
-    matrix = _col(matrix)
-    width = F.sequence(F.lit(0), F.size(F.get(matrix, F.lit(0))) - 1)
-    return F.transform(width, lambda k: mean(F.transform(matrix, lambda row: F.get(row, k))))
+    width = lambda m: F.sequence(F.lit(0), F.size(F.get(m, F.lit(0))) - 1)
+    one = lambda m, k: F.aggregate(m, F.lit(0.0), lambda a, row: a + F.get(row, k), lambda a: a / F.size(m))
+    return bound(matrix, lambda m: F.transform(width(m), lambda k: one(m, k)))
 
 
 def midpoint(vector: Column | str) -> Column:

@@ -11,11 +11,11 @@ import os
 from collections.abc import Sequence
 from urllib.parse import urlparse
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.tensors import axis_mean, gather, power
-from .groups import ROW, Partition, dense_ids
+from .groups import ROW, Partition
 from .lookup import index_of
 
 #: Observation intents by tag.
@@ -35,7 +35,7 @@ def baselines(antennas: DataFrame, autos: bool = False, products: DataFrame | No
     """ANTENNA1, ANTENNA2 (ANTENNA1 <= ANTENNA2, equal only with `autos`) and BL, numbered in the order of
     products (ANTENNA1, ANTENNA2, CP_INDEX; missing ones count as -1) and then of the antennas."""
     one, two = antennas.select(F.col("id").alias("ANTENNA1")), antennas.select(F.col("id").alias("ANTENNA2"))
-    pairs = one.join(two, (F.col("ANTENNA1") <= F.col("ANTENNA2")) if autos else (F.col("ANTENNA1") < F.col("ANTENNA2")))
+    pairs = one.join(F.broadcast(two), (F.col("ANTENNA1") <= F.col("ANTENNA2")) if autos else (F.col("ANTENNA1") < F.col("ANTENNA2")))
     if products is not None:
         pairs = pairs.join(products, ["ANTENNA1", "ANTENNA2"], "left").withColumn("CP_INDEX", F.coalesce("CP_INDEX", F.lit(-1)))
     order = Window.orderBy(*(["CP_INDEX"] if products is not None else []), "ANTENNA1", "ANTENNA2")  # antennas squared over two
@@ -44,21 +44,21 @@ def baselines(antennas: DataFrame, autos: bool = False, products: DataFrame | No
 
 def product_pairs(antennas: DataFrame, products: DataFrame, polarisations: Sequence[str] = tuple(POLARISATIONS), autos: bool = False) -> DataFrame:
     """Baselines with CP, the index of the product of each polarisation (-1 where there is none), in the order of the first."""
-    named = antennas.select("id", "name")
+    named = F.broadcast(antennas.select("id", "name"))
     pairs = baselines(antennas, autos).drop("BL")
     pairs = pairs.join(named.toDF("ANTENNA1", "__n1"), "ANTENNA1").join(named.toDF("ANTENNA2", "__n2"), "ANTENNA2")
     for pol in polarisations:
         known = products.select(F.col("input1").alias("__i1"), F.col("input2").alias("__i2"), F.col("index").alias(f"__{pol}"))
         on = [F.concat("__n1", F.lit(pol[0].lower())) == F.col("__i1"), F.concat("__n2", F.lit(pol[1].lower())) == F.col("__i2")]
-        pairs = pairs.join(known, on, "left").drop("__i1", "__i2").withColumn(f"__{pol}", F.coalesce(f"__{pol}", F.lit(-1)))
+        pairs = pairs.join(F.broadcast(known), on, "left").drop("__i1", "__i2").withColumn(f"__{pol}", F.coalesce(f"__{pol}", F.lit(-1)))
     first = Window.orderBy(f"__{polarisations[0]}", "ANTENNA1", "ANTENNA2")  # antennas squared over two
     return pairs.select("ANTENNA1", "ANTENNA2", F.array(*[f"__{pol}" for pol in polarisations]).alias("CP"), (F.row_number().over(first) - 1).alias("BL"))
 
 
-def rows(times: DataFrame, pairs: DataFrame, n_pairs: int) -> DataFrame:
+def rows(times: DataFrame, pairs: DataFrame, n_pairs: int | Column) -> DataFrame:
     """One row for each time (column t = 0, 1, ...) and baseline, time first: ROWID = t * n_pairs + BL.
-    The baselines are few (antennas squared over two) and are broadcast if the session's threshold allows."""
-    return times.crossJoin(pairs).withColumn("ROWID", F.col("t") * n_pairs + F.col("BL"))
+    The baselines are few (antennas squared over two) and are broadcast, so that no time moves."""
+    return times.crossJoin(F.broadcast(pairs)).withColumn("ROWID", F.col("t") * n_pairs + F.col("BL"))
 
 
 def time_chunks(row_chunk: int, n_pairs: int, n_times: int) -> int:
@@ -95,6 +95,17 @@ def difference(df: DataFrame, antennas: DataFrame, column: str, out: str, on: Se
     return both.withColumn(out, F.zip_with("__a", "__b", lambda x, y: x - y)).drop("__a", "__b")
 
 
+def antenna_cells(antennas: DataFrame, column: str, out: str) -> DataFrame:
+    """(t, id, `column`) as one row a time: t, and `out`, a map from antenna to its value; an antenna given twice is refused."""
+    return antennas.where("id is not null").groupBy("t").agg(F.map_from_entries(F.collect_list(F.struct("id", column))).alias(out))
+
+
+def cell_difference(df: DataFrame, column: str) -> Column:
+    """column[ANTENNA1] - column[ANTENNA2], elementwise, of a cell by antenna; null where one of them is missing."""
+    at = F.get if df.schema[column].dataType.typeName() == "array" else F.try_element_at
+    return F.zip_with(at(column, F.col("ANTENNA1")), at(column, F.col("ANTENNA2")), lambda x, y: x - y)
+
+
 def product_index(wanted: DataFrame, products: DataFrame) -> DataFrame:
     """The position of each wanted product, -1 where it is missing."""
     return index_of(wanted, products, "product", "index")
@@ -107,22 +118,31 @@ def tracked(scans: DataFrame) -> DataFrame:
     mapped = F.filter(F.transform("tags", lambda t: F.element_at(known, t)), lambda x: x.isNotNull())
     kept = scans.where("state <> 'slew'").withColumn("OBS_MODE", F.array_join(mapped, ","))
     kept = kept.withColumn("OBS_MODE", F.when(F.col("OBS_MODE") == "", "UNKNOWN").otherwise(F.col("OBS_MODE")))
-    fields = dense_ids(kept, "target", "scan").withColumnRenamed("id", "FIELD_ID")
-    states = dense_ids(kept.where("OBS_MODE <> 'UNKNOWN'"), "OBS_MODE", "scan", 1).withColumnRenamed("id", "STATE_ID")
-    return kept.join(fields, "target").join(states, "OBS_MODE", "left").withColumn("STATE_ID", F.coalesce("STATE_ID", F.lit(0)))
+    first = lambda key: F.min("scan").over(Window.partitionBy(key))
+    kept = kept.withColumns({"__target": first("target"), "__mode": first("OBS_MODE"), "__known": F.col("OBS_MODE") != "UNKNOWN"})
+    state = F.dense_rank().over(Window.partitionBy("__known").orderBy("__mode"))
+    kept = kept.withColumns({"FIELD_ID": (F.dense_rank().over(Window.orderBy("__target")) - 1).cast("long"),  # a row a scan: few
+                             "STATE_ID": F.when(F.col("__known"), state).otherwise(0).cast("long")})
+    return kept.drop("__target", "__mode", "__known")
 
 
-def main_table(dumps: DataFrame, scans: DataFrame, pairs: DataFrame, period: float, uvw: DataFrame | None = None, n_pairs: int | None = None) -> DataFrame:
+def main_table(dumps: DataFrame, scans: DataFrame, pairs: DataFrame, period: float, uvw: DataFrame | str | None = None, n_pairs: int | None = None) -> DataFrame:
     """The main table: a row for each dump of a tracked scan and each of `pairs` (see `product_pairs`).
 
-    Missing products are flagged, with zero visibilities and weights.  `uvw` (t, id, uvw) has antennas' coordinates;
-    without it UVW is null.  ROWID counts dumps first, then baselines; group it by GROUPS for partitions."""
-    n = pairs.count() if n_pairs is None else n_pairs
-    out = rows(dumps.join(tracked(scans).select("scan", "FIELD_ID", "STATE_ID"), "scan"), pairs, n)
+    Missing products are flagged, with zero visibilities and weights.  `uvw` has antennas' coordinates: a table (t, id,
+    uvw), which is joined by t and so moves the dumps' cells once, or the name of a column of the dumps with a vector
+    for each antenna (an array by id, or a map); UVW is null without them.  Scans and baselines are broadcast.
+    ROWID counts dumps first, then baselines; group it by GROUPS for partitions."""
+    if n_pairs is None:
+        pairs, n_pairs = pairs.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))), F.col("__n")
+    dumps = dumps.join(F.broadcast(tracked(scans).select("scan", "FIELD_ID", "STATE_ID")), "scan")
+    if isinstance(uvw, DataFrame):
+        dumps, uvw = dumps.join(antenna_cells(uvw, "uvw", "__uvw"), "t", "left"), "__uvw"
+    out = rows(dumps, pairs, n_pairs)
     zero = F.struct(F.lit(0.0).alias("re"), F.lit(0.0).alias("im")).cast(out.schema["vis"].dataType.elementType.elementType)
     for column, default in (("vis", zero), ("flags", F.lit(True)), ("weights", F.lit(0.0))):
         out = transpose(out, column, "CP", default)
-    out = difference(out, uvw, "uvw", "UVW", ["t"]) if uvw is not None else out.withColumn("UVW", F.lit(None).cast("array<double>"))
+    out = out.withColumn("UVW", F.lit(None).cast("array<double>") if uvw is None else cell_difference(out, uvw))
     out = weights(out.withColumnRenamed("weights", "WEIGHT_SPECTRUM"))
     whole = {"FEED1": 0, "FEED2": 0, "ARRAY_ID": 0, "OBSERVATION_ID": 0, "PROCESSOR_ID": 1, "DATA_DESC_ID": 0}
     out = out.withColumns({c: F.lit(v) for c, v in whole.items()} | {c: F.lit(float(period)) for c in ("INTERVAL", "EXPOSURE")})
